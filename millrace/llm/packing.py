@@ -89,14 +89,24 @@ class WordEncoder:
                     yield b"".join([self.cache[w] for w in words])
 
 
+_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+
+
+def encoder(path: str, dtype: str) -> WordEncoder:
+    """The worker process's encoder: its word cache lives on from task to task."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = WordEncoder(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """task, doc_id, within (tokens of this task before the document), n_tokens, tokens (uint16 ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, "<u2")
+        words = encoder(tokenizer_path, "<u2")
         task, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
         for b in batches:
-            ids = [x + end for x in encoder.encode_batch(texts(b))]
+            ids = [x + end for x in words.encode_batch(texts(b))]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             before = at + np.cumsum(n) - n
             at += int(n.sum())
