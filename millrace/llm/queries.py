@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, packing, rules, substring_dedup, suffix_dedup
+from millrace.llm import decontamination, packing, pii, rules, substring_dedup, suffix_dedup, url_filters
 from millrace.llm.common import read
 
 #: Tokens of a packed sequence, and the id that ends a document.
@@ -28,6 +28,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    # all spans in one order: by kind, then start
+    of_kind = lambda spans, kind: F.filter(spans, lambda x: x["kind"] == kind)
+    everything = found.withColumn("every", F.concat(*[of_kind(c, k) for k in pii.KINDS for c in ("base", "extra")]))
+    return everything.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("every").alias("spans"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +46,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+#: The stated URL rules (verdict, host and path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Host words that mark a URL as bad where no label does.
+URL_SEEDS = ["casino", "bets", "spam", "pills", "viagra", "porn", "xxx", "malware", "phish", "warez", "torrent"]
+
+
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, bad: pages labelled by id (quality 0 is bad), and pages whose host has a seed word."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    seeded = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)).rlike("(^|[.-])(" + "|".join(URL_SEEDS) + ")([.-]|$)")
+    return (
+        pages.select("page_id", seeded.alias("seeded")).join(labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality")), "page_id", "left")
+        .where("seeded or quality is not null").select("page_id", (F.col("seeded") | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
+    )
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    mined = [r[0] for r in url_filters.mine_rules(pages, url_labels(spark, sf_dir))]
+    return url_filters.judge(pages, URL_RULES, mined)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE, END_ID).drop("tokens")
 
@@ -49,7 +80,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
