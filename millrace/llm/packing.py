@@ -12,6 +12,8 @@ gives as many pieces as windows it touches, however long it is.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +29,11 @@ from millrace.llm.common import LOWER, column, only, shared_table, texts
 CACHE_WORDS = 1_000_000
 #: Put between the words that are learnt together; words that hold it are encoded alone.
 MARK = "\x01"
+#: A word that ends in a letter a-z and marks: the tokenizer parts it there.
+TAILED = re.compile(rb"(.*[a-z])([.,;:!?%&*$#|()\"]+)", re.S)
+#: Byte-level models' characters for bytes: printable ones stand for themselves, the rest follow from 256 on.
+BYTE_CHARS = {c: chr(c) for c in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTE_CHARS |= {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if c not in BYTE_CHARS)}
 
 
 PIECES = (
@@ -50,9 +57,35 @@ class WordEncoder:
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        """Encode the words in strings of 500, a mark after each, and cut the ids at the mark's id."""
+        """Add the ids of the words to the cache.
+
+        Plain lower-case Latin words are single pieces to the tokenizer, so its model is asked directly; a
+        tail of marks after a letter is a piece of its own. All others go through the whole tokenizer, in strings
+        of 500, a mark after each, and the ids are cut at the mark's id.
+        """
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
+        cache, model, other = self.cache, self.tokenizer.model, []
+        for w in words:
+            m = TAILED.fullmatch(w)
+            core, tail = (m[1], m[2]) if m else (w, b"")
+            ids = cache.get(core)
+            if ids is None:
+                s = core.decode("utf-8", "replace")
+                if core.isalpha() or (s.isalpha() and max(s) < "\u0250" and s == s.lower() and unicodedata.is_normalized("NFC", s)):
+                    plain = s if core.isalpha() else "".join([BYTE_CHARS[c] for c in core])
+                    ids = cache[core] = np.array([x.id for x in model.tokenize(plain)], self.dtype).tobytes()
+            if ids is None or tail and tail not in cache:
+                other += [x for x in (core, tail) if x and x not in cache]
+            elif tail:
+                cache[w] = ids + cache[tail]
+        self._learn_whole(list(dict.fromkeys(other)))
+        for w in words:
+            if w not in cache:
+                m = TAILED.fullmatch(w)
+                cache[w] = cache[m[1]] + cache[m[2]]
+
+    def _learn_whole(self, words: list[bytes]) -> None:
         ids = lambda s: np.array(s.ids, self.dtype)
         (mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         plain = []
