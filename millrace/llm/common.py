@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import pyarrow as pa
@@ -52,6 +53,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver's JVM collect finished plans, so that their shuffle files go before the next step needs disk."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes (null stays None)."""
     col = batch.column(batch.schema.get_field_index(name))

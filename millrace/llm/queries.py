@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, ngram_join, packing, pii, rules, substring_dedup, suffix_dedup, url_filters
+from millrace.llm import decontamination, line_dedup, ngram_join, packing, pii, rules, substring_dedup, suffix_dedup, url_filters
 from millrace.llm.common import read
 
 #: Tokens of a packed sequence, and the id that ends a document.
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontamination.decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return report.select(
@@ -83,6 +88,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
@@ -136,4 +142,23 @@ r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e
 m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op1_line_dedup": r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
+w AS (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+'))) AS ws FROM l),
+c AS (SELECT line, ws, len(ws) AS n, row_number() OVER () AS k, min({'d': doc_id, 'i': i}) AS f FROM w WHERE len(ws) >= 5 GROUP BY line, ws),
+t AS (SELECT k, n, unnest(ws) AS t FROM c),
+v AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+r AS (SELECT k, n, t, row_number() OVER (PARTITION BY k ORDER BY df, t) AS p FROM t JOIN v USING (t)),
+q AS (SELECT k, n, t FROM r WHERE p <= n - CAST(ceil(0.75 * n) AS INT) + 1),
+x AS (SELECT DISTINCT a.k AS a, b.k AS b FROM q a JOIN q b ON a.t = b.t AND a.k <> b.k AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n),
+m AS (
+  SELECT a.k, min(b.f) AS f FROM x JOIN c a ON a.k = x.a JOIN c b ON b.k = x.b
+  WHERE 175 * len(list_intersect(a.ws, b.ws)) >= 75 * (a.n + b.n) GROUP BY a.k),
+g AS (
+  SELECT w.doc_id, w.i FROM w JOIN c ON c.line = w.line LEFT JOIN m USING (k)
+  WHERE {'d': w.doc_id, 'i': w.i} > least(c.f, coalesce(m.f, c.f))),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM l ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM a LEFT JOIN kept USING (doc_id)""",
 }
