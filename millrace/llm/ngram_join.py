@@ -12,7 +12,7 @@ partner within the size bound can be there. Pieces are XOR hashes of their toggl
 2. ``piece_matches``: the pieces of each node, packed by bucket, meet by bucket. Pieces shared within one
    block of documents are pre-aggregated before the shuffle (one entry goes on), so a frequent piece costs
    one entry per block. Result: (piece, node) of pieces that two nodes share, with the piece's least node.
-3. Every node is verified against one least node; links give components. Then, of nodes that share a piece
+3. Every node is verified against the least node it meets most often, if the Hamming bound allows; links give components. Then, of nodes that share a piece
    but lie in different components, all pairs that the size and Hamming bounds allow are verified too. Large
    pieces are compared block by block. So no link between different components is lost.
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, column, only, partitions, shared_table, texts
+from millrace.llm.common import LOWER, column, only, partitions, release, shared_table, texts
 from millrace.llm.components import connected_components
 from millrace.llm.repeats import WordHashes
 
@@ -153,7 +153,7 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 _MATCH = "piece long, node long, least long"
-_NAMES = ["bucket", "keys", "nodes", "piece", "node", "least"]
+_NAMES = ["bucket", "keys", "places", "nodes", "piece", "node", "least"]
 
 
 def _matches(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +169,10 @@ def _matches(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
     """piece, node, least: the nodes of every piece that two nodes or more share."""
 
+    def short(key: np.ndarray) -> np.ndarray:
+        """A piece's name: its bucket and the lower 32 bits of its key. Chance matches are verified away."""
+        return ((key >> np.uint64(33)).astype(np.int64) % buckets << 32) | key.astype(np.uint32).astype(np.int64)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
         keys: list[np.ndarray] = []
@@ -183,16 +187,18 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
             many = np.repeat(n > 1, n)
             if many.any():
                 none = pa.nulls(int(many.sum()))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(key[many].view(np.int64)), pa.array(node[many]), pa.array(least[many])], _NAMES)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), *[none.cast(pa.binary())] * 3, pa.array(short(key[many])), pa.array(node[many]), pa.array(least[many])], _NAMES)
             key, node = key[first], node[first]
             bucket = (key >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            key, node, bucket = key[order], node[order], bucket[order]
+            key, node, bucket = key[order].astype(np.uint32), node[order], bucket[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            end = np.r_[at[1:], len(bucket)].tolist()
-            rows = [(int(bucket[i]), key[i:j].tobytes(), node[i:j].tobytes()) for i, j in zip(at.tolist(), end, strict=True)]
+            rows = []
+            for i, j in zip(at.tolist(), np.r_[at[1:], len(bucket)].tolist(), strict=True):
+                own, place = np.unique(node[i:j], return_inverse=True)
+                rows.append((int(bucket[i]), key[i:j].tobytes(), place.astype(np.uint16).tobytes(), own.tobytes()))
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)), none, none, none], _NAMES)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)), none, none, none], _NAMES)
 
         for b in batches:
             for t in texts(b):
@@ -204,7 +210,7 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
                 keys.append(k)
                 nodes.append(np.full(len(k), name, np.int64))
                 held += len(k)
-                if held >= BLOCK:
+                if held >= BLOCK or len(nodes) == 65_535:
                     yield from flush()
                     keys, nodes, held = [], [], 0
         if held:
@@ -215,12 +221,12 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
 
         def done() -> Iterator[pa.RecordBatch]:
             if keys:
-                key, node = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(nodes), np.int64)
+                key, node = np.concatenate(keys), np.concatenate(nodes)
                 order, first, n = _matches(key, node)
                 many = np.repeat(n > 1, n)
                 if many.any():
                     least = np.repeat(node[order][first], n)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[order][many].view(np.int64)), pa.array(node[order][many]), pa.array(least[many])], ["piece", "node", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | key[order][many].astype(np.int64)), pa.array(node[order][many]), pa.array(least[many])], ["piece", "node", "least"])
 
         for b in batches:
             ready = []
@@ -231,13 +237,13 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
                 if at != bucket:
                     yield from done()
                     bucket, keys, nodes = at, [], []
-                keys.append(column(b, "keys")[i].as_py())
-                nodes.append(column(b, "nodes")[i].as_py())
+                keys.append(np.frombuffer(column(b, "keys")[i].as_py(), np.uint32))
+                nodes.append(np.frombuffer(column(b, "nodes")[i].as_py(), np.int64)[np.frombuffer(column(b, "places")[i].as_py(), np.uint16)])
             if ready:
                 yield b.select(["piece", "node", "least"]).take(pa.array(ready))
         yield from done()
 
-    sent = only(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(packed, "bucket int, keys binary, nodes binary, piece long, node long, least long")
+    sent = only(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(packed, "bucket int, keys binary, places binary, nodes binary, piece long, node long, least long")
     spread = F.coalesce(F.col("bucket"), F.xxhash64("piece", "node"))
     return sent.repartition(partitions(docs), spread).sortWithinPartitions("bucket").mapInArrow(meet, _MATCH)
 
@@ -254,7 +260,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, pe
             keep = [i for i, (s, n) in enumerate(zip(found, column(b, "node").to_pylist(), strict=True)) if len(s) and set_name(s) == n]
             yield pa.RecordBatch.from_arrays([column(b, "node").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["node", "elements"])
 
-    elements = shared_table(only(docs, "doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), "sets")
+    elements = shared_table(only(docs, "doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "node long, elements binary"), "sets")  # a repeated row repeats a link at most
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,6 +276,25 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, pe
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bounds on sizes and on the Hamming distance of the parity sketches let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for m, n, x, y in zip(*[column(b, c).to_pylist() for c in ("m", "n", "x", "y")], strict=True):
+                ok.append(100 * min(m, n) >= percent * max(m, n))
+                if ok[-1]:
+                    u, v = np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None]
+                    size = min(u.shape[1], v.shape[1])
+                    ok[-1] = int(np.bitwise_count(fold(u, size) ^ fold(v, size)).sum()) <= allowed(m, n, percent)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def cross_pairs(matches: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a piece, lie in different components and pass the size and Hamming bounds.
 
@@ -324,11 +349,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     described = shared_table(describe(docs, shingle), "shingle-sets")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(4 * partitions(docs), total // 2_000_000 + 1)
-    nodes = described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     matches = shared_table(piece_matches(docs, shingle, percent, buckets), "pieces")
-    stars = shared_table(matches.where("least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b")), "stars")
+    # of the least nodes of its pieces, each node is first checked against the one it meets most often
+    met = matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times"))
+    stars = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))
+    stars = shared_table(plausible(stars, nodes, percent), "stars")
+    release(docs)
     links = shared_table(verify(stars, docs, nodes, shingle, percent), "links")
     labels = connected_components(links)
+    release(docs)
     cross = shared_table(cross_pairs(matches, labels, nodes, percent), "cross")
     if not cross.isEmpty():
         links = links.unionByName(shared_table(verify(cross, docs, nodes, shingle, percent), "links"))
