@@ -8,13 +8,14 @@ sets within the bound agree on at least one piece that isn't empty in both (a se
 pieces for that also joins on its empty ones). A set joins in its own band, and in the band below if a
 partner within the size bound can be there. Pieces are XOR hashes of their toggled bits.
 
-1. ``describe``: size, digest and a foldable parity sketch per document. Equal sets become one node.
-2. ``piece_matches``: the pieces of each node, packed by bucket, meet by bucket. Pieces shared within one
+1. ``describe_and_meet``, one pass: size, digest and a foldable parity sketch per document (equal sets
+   become one node); the pieces of each node, packed by bucket, meet by bucket. Pieces shared within one
    block of documents are pre-aggregated before the shuffle (one entry goes on), so a frequent piece costs
    one entry per block. Result: (piece, node) of pieces that two nodes share, with the piece's least node.
-3. Every node is verified against the least node it meets most often, if the Hamming bound allows; links give components. Then, of nodes that share a piece
-   but lie in different components, all pairs that the size and Hamming bounds allow are verified too. Large
-   pieces are compared block by block. So no link between different components is lost.
+2. Every node is verified against the least node it meets most often, if the Hamming bound allows; links
+   give components. Then, of nodes that share a piece but lie in different components, all pairs that the
+   size and Hamming bounds allow are verified too. Large pieces are compared block by block. So no link
+   between different components is lost.
 
 Work is linear in shingles and in matches; no stage emits the pairs of a group. Nodes are named by 64-bit
 digests of their sets, shingles and words by 64-bit hashes.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, column, only, partitions, release, shared_table, texts
 from millrace.llm.components import connected_components
-from millrace.llm.repeats import WordHashes
+from millrace.llm.repeats import WORDS, WordHashes
 
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 #: Sizes of one band differ by this factor at most: (4 / 3) ** 2 fits a threshold of 0.75.
@@ -76,9 +77,9 @@ def set_name(s: np.ndarray) -> int:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """At least four bits an element, a power of two of bytes: halves XOR to the sketch of half the length."""
+    """One to two bits an element, a power of two of bytes: halves XOR to the sketch of half the length."""
     bits = 64
-    while bits < 4 * len(s):
+    while bits < len(s):
         bits *= 2
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -119,7 +120,7 @@ def piece_keys(s: np.ndarray, percent: int) -> np.ndarray:
         pieces = int(PIECES * top(b)) + 1
         x = mix(s + np.uint64(b + 1))
         piece = ((x >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
-        order = np.argsort(piece, kind="stable")
+        order = np.argsort(piece.astype(np.uint16) if pieces <= 65_536 else piece, kind="stable")
         piece = piece[order]
         toggled = mix((x[order] & np.uint64(0xFFFF)) + np.uint64(77))  # one of 65536 bits of the piece
         first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
@@ -135,84 +136,83 @@ def piece_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), sketch."""
+_COLUMNS = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "sketch": pa.binary(), "bucket": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "nodes": pa.binary(), "piece": pa.int64(), "node": pa.int64(), "least": pa.int64()}
+_OUT = {k: _COLUMNS[k] for k in ("doc_id", "n_shingles", "sketch", "piece", "node", "least")}
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for b in batches:
-            n, node, sketch = [], [], []
-            for t in texts(b):
-                s = shingle_set(cache, t, shingle)
-                n.append(len(s))
-                node.append(set_name(s) if len(s) else None)
-                sketch.append(parity_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+def _rows(n: int, schema: dict, **given) -> pa.RecordBatch:
+    """A batch of ``n`` rows with nulls in all columns that aren't given."""
+    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in schema.items()], list(schema))
 
 
-_MATCH = "piece long, node long, least long"
-_NAMES = ["bucket", "keys", "places", "nodes", "piece", "node", "least"]
+def _ddl(schema: dict) -> str:
+    return ", ".join(f"{k} {_DDL[t]}" for k, t in schema.items())
 
 
-def _matches(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (key, node) without repeats: starts of keys in it, and how many nodes each key has."""
-    order = np.lexsort((node, key))
+def _groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, first row of each key, its least node, and rows (in that order) of keys that two nodes share."""
+    order = np.argsort(key)
     k, v = key[order], node[order]
-    order = order[np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]] if len(k) else order
-    k = key[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return order, first, np.diff(np.r_[first, len(k)])
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    least = np.minimum.reduceat(v, first)
+    n = np.diff(np.r_[first, len(k)])
+    most = np.maximum.reduceat(v, first)
+    return order, first, least, np.flatnonzero(np.repeat((n > 1) & (least < most), n))
 
 
-def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """piece, node, least: the nodes of every piece that two nodes or more share."""
+def describe_and_meet(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
+    """Two kinds of rows: doc_id, n_shingles, node, sketch of every document (node and sketch null for an empty
+    set), and piece, node, least of the pieces that two nodes or more share (may repeat)."""
 
     def short(key: np.ndarray) -> np.ndarray:
         """A piece's name: its bucket and the lower 32 bits of its key. Chance matches are verified away."""
         return ((key >> np.uint64(33)).astype(np.int64) % buckets << 32) | key.astype(np.uint32).astype(np.int64)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
+        cache, seen = WORDS, set()
         keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        nodes: list[int] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            order, first, n = _matches(key, node)
-            key, node = key[order], node[order]
-            least = np.repeat(node[first], n)  # matches within the block; only the least node of a piece goes on
-            many = np.repeat(n > 1, n)
-            if many.any():
-                none = pa.nulls(int(many.sum()))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), *[none.cast(pa.binary())] * 3, pa.array(short(key[many])), pa.array(node[many]), pa.array(least[many])], _NAMES)
-            key, node = key[first], node[first]
+            key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+            order, first, least, many = _groups(key, node)
+            if len(many):  # matches within the block; only the least node of a piece goes on
+                at = order[many]
+                yield _rows(len(at), _COLUMNS, piece=short(key[at]), node=node[at], least=least[np.searchsorted(first, many, "right") - 1])
+            key, node = key[order[first]], least
             bucket = (key >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 65_536 else bucket, kind="stable")
             key, node, bucket = key[order].astype(np.uint32), node[order], bucket[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
-            for i, j in zip(at.tolist(), np.r_[at[1:], len(bucket)].tolist(), strict=True):
+            ends = np.r_[at[1:], len(bucket)].tolist()
+            kinds: list[list] = [[], [], [], []]
+            for i, j in zip(at.tolist(), ends, strict=True):
                 own, place = np.unique(node[i:j], return_inverse=True)
-                rows.append((int(bucket[i]), key[i:j].tobytes(), place.astype(np.uint16).tobytes(), own.tobytes()))
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)), none, none, none], _NAMES)
+                for c, v in zip(kinds, (int(bucket[i]), key[i:j].tobytes(), place.astype(np.uint16).tobytes(), own.tobytes()), strict=True):
+                    c.append(v)
+            yield _rows(len(at), _COLUMNS, bucket=kinds[0], keys=kinds[1], places=kinds[2], nodes=kinds[3])
 
         for b in batches:
-            for t in texts(b):
+            ids = column(b, "doc_id").to_pylist()
+            n, names, sketches = [], [], []
+            for doc, t in zip(ids, texts(b), strict=True):
                 s = shingle_set(cache, t, shingle)
-                if not len(s) or (name := set_name(s)) in seen:
+                name = set_name(s) if len(s) else None
+                n.append(len(s))
+                names.append(name)
+                sketches.append(parity_sketch(s) if len(s) else None)
+                if name is None or doc is None or name in seen:
                     continue
                 seen.add(name)
-                k = piece_keys(s, percent)
-                keys.append(k)
-                nodes.append(np.full(len(k), name, np.int64))
-                held += len(k)
+                keys.append(piece_keys(s, percent))
+                nodes.append(name)
+                held += len(keys[-1])
                 if held >= BLOCK or len(nodes) == 65_535:
                     yield from flush()
                     keys, nodes, held = [], [], 0
+            yield _rows(len(n), _COLUMNS, doc_id=ids, n_shingles=n, node=names, sketch=sketches)
         if held:
             yield from flush()
 
@@ -222,11 +222,10 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
         def done() -> Iterator[pa.RecordBatch]:
             if keys:
                 key, node = np.concatenate(keys), np.concatenate(nodes)
-                order, first, n = _matches(key, node)
-                many = np.repeat(n > 1, n)
-                if many.any():
-                    least = np.repeat(node[order][first], n)
-                    yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | key[order][many].astype(np.int64)), pa.array(node[order][many]), pa.array(least[many])], ["piece", "node", "least"])
+                order, first, least, many = _groups(key, node)
+                if len(many):
+                    at = order[many]
+                    yield _rows(len(at), _OUT, piece=(bucket << 32) | key[at].astype(np.int64), node=node[at], least=least[np.searchsorted(first, many, "right") - 1])
 
         for b in batches:
             ready = []
@@ -240,12 +239,12 @@ def piece_matches(docs: DataFrame, shingle: int, percent: int, buckets: int) ->
                 keys.append(np.frombuffer(column(b, "keys")[i].as_py(), np.uint32))
                 nodes.append(np.frombuffer(column(b, "nodes")[i].as_py(), np.int64)[np.frombuffer(column(b, "places")[i].as_py(), np.uint16)])
             if ready:
-                yield b.select(["piece", "node", "least"]).take(pa.array(ready))
+                yield b.select(list(_OUT)).take(pa.array(ready))
         yield from done()
 
-    sent = only(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(packed, "bucket int, keys binary, places binary, nodes binary, piece long, node long, least long")
-    spread = F.coalesce(F.col("bucket"), F.xxhash64("piece", "node"))
-    return sent.repartition(partitions(docs), spread).sortWithinPartitions("bucket").mapInArrow(meet, _MATCH)
+    sent = only(docs, "doc_id", "text").mapInArrow(packed, _ddl(_COLUMNS))
+    spread = F.coalesce(F.col("bucket").cast("long"), F.xxhash64("doc_id", "piece", "node"))
+    return sent.repartition(partitions(docs), spread).sortWithinPartitions("bucket").mapInArrow(meet, _ddl(_OUT))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -253,7 +252,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, pe
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = WORDS
         for b in batches:
             found = [shingle_set(cache, t, shingle) for t in texts(b)]
             # an id given twice with different texts: only the text the node was made from counts
@@ -303,6 +302,7 @@ def cross_pairs(matches: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     placed = matches.select("piece", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("piece").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("piece", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
     rows = shared_table(placed.distinct().join(mixed, "piece").join(nodes.select("node", "n_shingles", "sketch"), "node"), "mixed")
+    release(rows)
     i = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch")
 
@@ -346,11 +346,13 @@ def cross_pairs(matches: DataFrame, labels: DataFrame, nodes: DataFrame, percent
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), per row of ``docs``."""
-    described = shared_table(describe(docs, shingle), "shingle-sets")
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(4 * partitions(docs), total // 2_000_000 + 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * partitions(docs), size // 15_000_000 + 1)  # about 1.5 million pieces each
+    both = shared_table(describe_and_meet(docs, shingle, percent, buckets), "pieces")
+    release(docs)
+    described = both.where("piece is null").select("doc_id", "n_shingles", "node", "sketch")
+    matches = both.where("piece is not null").select("piece", "node", "least")
     nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
-    matches = shared_table(piece_matches(docs, shingle, percent, buckets), "pieces")
     # of the least nodes of its pieces, each node is first checked against the one it meets most often
     met = matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times"))
     stars = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, line_dedup, ngram_join, packing, pii, rules, substring_dedup, suffix_dedup, url_filters
+from millrace.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_classifier, rules, substring_dedup, suffix_dedup, url_filters
 from millrace.llm.common import read
 
 #: Tokens of a packed sequence, and the id that ends a document.
@@ -25,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontamination.decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return report.select(
@@ -89,6 +94,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,

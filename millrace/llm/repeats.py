@@ -46,6 +46,10 @@ class WordHashes(dict):
         return h
 
 
+#: The worker process's cache, kept from task to task.
+WORDS = WordHashes()
+
+
 def word_tokens(cache: WordHashes, text: bytes) -> np.ndarray:
     words = text.split()
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -125,7 +129,7 @@ def fragments(docs: DataFrame, tokens: Callable, length: int, gram: int) -> Data
     """All fragments of all documents. (anchor, f) names a fragment's tokens with 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = WORDS
         for b in batches:
             ids = column(b, "doc_id").to_numpy(zero_copy_only=False)
             parts, hashes, owner = [], [], []
@@ -166,7 +170,7 @@ def fetch(asked: DataFrame, docs: DataFrame, tokens: Callable, length: int) -> D
     joined = only(docs, "doc_id", "text").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = WORDS
         for b in batches:
             for doc, t, w in zip(column(b, "doc_id").to_pylist(), texts(b), column(b, "wanted"), strict=True):
                 x = tokens(cache, t or b"")
