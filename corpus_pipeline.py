@@ -1,18 +1,53 @@
-"""Corpus pipeline: stages over ``documents``; each takes (spark, docs, sf_dir), its result is written and re-read."""
+"""Corpus pipeline over ``documents``: classify, de-duplicate lines, de-duplicate documents, decontaminate, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; results are written as Parquet
+and read again between stages. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, queries
+from millrace.llm import decontamination, line_dedup, ngram_join, packing, quality_classifier, queries
 from millrace.llm.common import read, shared_table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the co-trained classifier rejects (poor or toxic) go."""
+    return quality_classifier.reject(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; ``n_chars`` follows the text."""
+    out = line_dedup.remove_lines(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least doc_id."""
+    return ngram_join.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages on a twentieth of their words or more go."""
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048-token sequences, with their token ids."""
     return packing.pack(docs, queries.tokenizer_path(), queries.SEQUENCE, queries.END_ID)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
@@ -22,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = shared_table(docs, name)
+            docs = shared_table(docs, name.replace(" ", "-"))
     return docs
