@@ -13,9 +13,10 @@ partner within the size bound can be there. Pieces are XOR hashes of their toggl
    block of documents are pre-aggregated before the shuffle (one entry goes on), so a frequent piece costs
    one entry per block. Result: (piece, node) of pieces that two nodes share, with the piece's least node.
 2. Every node is verified against the least node it meets most often, if the Hamming bound allows; links
-   give components. Then, of nodes that share a piece but lie in different components, all pairs that the
-   size and Hamming bounds allow are verified too. Large pieces are compared block by block. So no link
-   between different components is lost.
+   give components. Then against its other least nodes that lie in other components. Then, of nodes that
+   share a piece but lie in different components, all pairs that the size and Hamming bounds allow are
+   verified, nearest first and more in each round, until no untested pair between different components is
+   left. Large pieces are compared block by block. So no link between different components is lost.
 
 Work is linear in shingles and in matches; no stage emits the pairs of a group. Nodes are named by 64-bit
 digests of their sets, shingles and words by 64-bit hashes.
@@ -294,54 +295,111 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(matches: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a piece, lie in different components and pass the size and Hamming bounds.
+def mixed_pieces(matches: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of pieces whose nodes lie in different components, with label, size, sketch and number of blocks."""
+    placed = matches.select("piece", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = placed.groupBy("piece").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("piece", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
+    return placed.join(mixed, "piece").join(nodes.select("node", "n_shingles", "sketch"), "node")
+
 
-    A piece of over SIDE members is dealt into blocks; each pair of blocks is compared by itself.
+def cross_pairs(rows: DataFrame, tested: DataFrame, percent: int, most: int) -> DataFrame:
+    """Untested pairs (a, b) that share a piece, lie in different components and pass the size and Hamming bounds.
+
+    Of the pairs of two components under one piece, the ``most`` nearest in sketches come out: one link joins
+    them, so further ones are only needed where these fail; a pair of nulls says that some were left. A piece of over SIDE members is dealt into blocks;
+    each pair of blocks is compared by itself.
     """
-    placed = matches.select("piece", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("piece").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("piece", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
-    rows = shared_table(placed.distinct().join(mixed, "piece").join(nodes.select("node", "n_shingles", "sketch"), "node"), "mixed")
-    release(rows)
+    partners = tested.select(F.col("a").alias("node"), F.col("b").alias("other")).union(tested.select("b", "a")).groupBy("node").agg(F.collect_set("other").alias("tested"))
     i = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch")
+    dealt = rows.join(partners, "node", "left").withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch", "tested")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            node, label, n = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            sizes = np.array([len(r[3]) for r in held])
-            by_size = {int(z): np.frombuffer(b"".join([r[3] for r in held if len(r[3]) == z]), np.uint8).reshape(-1, int(z)) for z in np.unique(sizes)}
-            at_size = {z: np.flatnonzero(sizes == z) for z in by_size}
-            block = np.array([r[4] for r in held])
-            for z, rows_z in by_size.items():
-                # everything at least this long, folded to this length
-                idx = np.concatenate([at_size[y] for y in by_size if y >= z])
-                sk = np.concatenate([fold(by_size[y], z) for y in by_size if y >= z])
-                for k, row in zip(at_size[z].tolist(), rows_z, strict=True):
-                    other = (label[idx] != label[k]) & ((sizes[idx] > z) | (idx > k))
-                    other &= np.minimum(n[idx], n[k]) * 100 >= np.maximum(n[idx], n[k]) * percent
-                    if place[1] != place[2]:
-                        other &= block[idx] != block[k]
-                    o = np.flatnonzero(other)
-                    if len(o):
-                        distance = np.bitwise_count(sk[o] ^ row).sum(1, dtype=np.int64)
-                        o = idx[o[distance * (100 + percent) <= (100 - percent) * (n[idx[o]] + n[k])]]
-                        if len(o):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[o], node[k])), pa.array(np.maximum(node[o], node[k]))], ["a", "b"])
-
+        names = ("piece", "p", "q", "i", "node", "label", "n_shingles")
+        known: dict[tuple[int, int], float | None] = {}  # pairs of small pieces that were compared already
+
+        def pair_distance(x: int, y: int, sk: list[bytes], n: np.ndarray, node: np.ndarray) -> float | None:
+            """Share of the bound for two members, None if over it."""
+            key = (int(node[x]), int(node[y]))
+            if key not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                m, k = int(n[x]), int(n[y])
+                known[key] = None
+                if 100 * min(m, k) >= percent * max(m, k):
+                    u, v = sorted((sk[x], sk[y]), key=len)
+                    small, large, bits = int.from_bytes(u, "little"), int.from_bytes(v, "little"), 8 * len(v)
+                    while bits > 8 * len(u):
+                        bits //= 2
+                        large = (large >> bits) ^ (large & ((1 << bits) - 1))
+                    far = (small ^ large).bit_count()
+                    if far * (100 + percent) <= (100 - percent) * (m + k):
+                        known[key] = far / (m + k)
+            return known[key]
+
+        def solve(block: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sk: list[bytes], tested: list, apart: bool) -> Iterator[tuple]:
+            found = []
+            if len(node) <= 4:
+                for x in range(len(node)):
+                    for y in range(x + 1, len(node)):
+                        if label[x] != label[y] and (not apart or block[x] != block[y]) and (d := pair_distance(x, y, sk, n, node)) is not None:
+                            found.append((d, x, y))
+            else:
+                sizes = np.array([len(x) for x in sk])
+                by_size = {int(z): np.flatnonzero(sizes == z) for z in np.unique(sizes)}
+                bits = {z: np.frombuffer(b"".join([sk[k] for k in at]), np.uint8).reshape(-1, z) for z, at in by_size.items()}
+                for z, small in by_size.items():
+                    for y, large in by_size.items():
+                        if y < z:
+                            continue
+                        folded, step = fold(bits[y], z), max(1, 4_000_000 // (len(large) * z))  # bounded memory
+                        for k in range(0, len(small), step):
+                            at = small[k : k + step]
+                            ok = label[at][:, None] != label[large]
+                            if y == z:
+                                ok &= at[:, None] < large
+                            if apart:
+                                ok &= block[at][:, None] != block[large]
+                            ok &= np.minimum(n[at][:, None], n[large]) * 100 >= np.maximum(n[at][:, None], n[large]) * percent
+                            r, c = np.nonzero(ok)
+                            if len(r):
+                                far = np.bitwise_count(bits[z][k + r].view(np.uint64) ^ folded[c].view(np.uint64)).sum(1, dtype=np.int64)
+                                total = n[at[r]] + n[large[c]]
+                                near = far * (100 + percent) <= (100 - percent) * total
+                                found += zip((far[near] / total[near]).tolist(), at[r[near]].tolist(), large[c[near]].tolist(), strict=True)
+            given: dict[tuple[int, int], int] = {}
+            for _, x, y in sorted(found):
+                parts = (min(label[x], label[y]), max(label[x], label[y]))
+                if int(node[y]) in (tested[x] or ()):
+                    continue
+                if given.get(parts, 0) >= most:
+                    yield (None, None)  # some are left for the next round
+                    continue
+                given[parts] = given.get(parts, 0) + 1
+                yield (int(min(node[x], node[y])), int(max(node[x], node[y])))
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            """All groups of a table of whole groups, sorted by group."""
+            piece, p, q, *rest = (t.column(c).to_numpy() for c in names)
+            sk, tested = t.column("sketch").to_pylist(), t.column("tested").to_pylist()
+            first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+            out: dict[tuple, None] = {}
+            for s, e in zip(first.tolist(), np.r_[first[1:], len(piece)].tolist(), strict=True):
+                if e - s > 1:
+                    out.update(dict.fromkeys(solve(*[c[s:e] for c in rest], sk[s:e], tested[s:e], bool(p[s] != q[s]))))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for piece, p, q, i, *r in zip(*[column(b, c).to_pylist() for c in ("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch")], strict=True):
-                if (piece, p, q) != place:
-                    yield from done()
-                    place, held = (piece, p, q), []
-                held.append((*r, i))
-        yield from done()
+            t = pa.Table.from_batches([*held, b])
+            same = np.logical_and.reduce([(v := t.column(c).to_numpy()) == v[-1] for c in names[:3]])
+            cut = int(np.argmax(same))  # the last group may go on in the next batch
+            if cut:
+                yield done(t.slice(0, cut))
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
 
-    return dealt.repartition(partitions(matches), "piece", "p", "q").sortWithinPartitions("piece", "p", "q").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition(partitions(rows), "piece", "p", "q").sortWithinPartitions("piece", "p", "q").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -353,18 +411,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     described = both.where("piece is null").select("doc_id", "n_shingles", "node", "sketch")
     matches = both.where("piece is not null").select("piece", "node", "least")
     nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
-    # of the least nodes of its pieces, each node is first checked against the one it meets most often
-    met = matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times"))
-    stars = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))
-    stars = shared_table(plausible(stars, nodes, percent), "stars")
+    met = shared_table(matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times")), "met")
+    # first, of the least nodes of its pieces, each node is checked against the one it meets most often
+    best = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))
+    tested = shared_table(plausible(best, nodes, percent), "stars")
     release(docs)
-    links = shared_table(verify(stars, docs, nodes, shingle, percent), "links")
+    links = shared_table(verify(tested, docs, nodes, shingle, percent), "links")
     labels = connected_components(links)
-    release(docs)
-    cross = shared_table(cross_pairs(matches, labels, nodes, percent), "cross")
-    if not cross.isEmpty():
-        links = links.unionByName(shared_table(verify(cross, docs, nodes, shingle, percent), "links"))
-        labels = connected_components(links)
+    # then against the others, where they still lie apart; then all members of a piece, few pairs at a time
+    apart = met.join(labels.select(F.col("node"), F.col("label").alias("x")), "node", "left").join(labels.select(F.col("node").alias("least"), F.col("label").alias("y")), "least", "left").where("coalesce(x, node) <> coalesce(y, least)").select(F.col("least").alias("a"), F.col("node").alias("b")).join(tested, ["a", "b"], "left_anti")
+    more, most, left = shared_table(plausible(apart, nodes, percent), "stars"), 1, True
+    while True:
+        if not more.isEmpty():
+            found = shared_table(verify(more, docs, nodes, shingle, percent), "links")
+            tested, links = tested.unionByName(more), links.unionByName(found)
+            if not found.isEmpty():
+                labels = connected_components(links)
+        if not left:
+            break
+        most *= 16
+        rows = shared_table(mixed_pieces(matches, labels, nodes), "mixed")
+        release(docs)
+        cross = shared_table(cross_pairs(rows, tested, percent, most), "cross")
+        more, left = cross.where("a is not null"), not cross.where("a is null").isEmpty()
     named = nodes.select("node", "doc_id").join(labels, "node").select("node", "label", "doc_id")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
     # nodes without links stand for their equal sets only
