@@ -5,8 +5,8 @@ sketch; the Hamming distance of two sketches never exceeds the symmetric differe
 Jaccard >= t and sizes a <= b the symmetric difference is at most (1 - t) / (1 + t) * (a + b). Sizes are
 cut into bands (ratio ``BAND``); a band's sketch has so many pieces that, by the pigeonhole principle, two
 sets within the bound agree on at least one piece that isn't empty in both (a set with too few non-empty
-pieces for that also joins on its empty ones). A set joins in its own band, and in the band below if a
-partner within the size bound can be there. Pieces are XOR hashes of their toggled bits.
+pieces for that also joins on its empty ones). A set joins in its own band, and in those below that a
+partner within the size bound can be in. Pieces are XOR hashes of their toggled bits.
 
 1. ``describe_and_meet``, one pass: size, digest and a foldable parity sketch per document (equal sets
    become one node); the pieces of each node, packed by bucket, meet by bucket. Pieces shared within one
@@ -41,8 +41,9 @@ from millrace.llm.components import connected_components
 from millrace.llm.repeats import WORDS, WordHashes
 
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
-#: Sizes of one band differ by this factor at most: (4 / 3) ** 2 fits a threshold of 0.75.
-BAND = 16 / 9
+#: Sizes of one band differ by this factor at most. Narrow bands keep some 2 to 3.5 elements in a piece, so that
+#: unrelated sets seldom agree on one.
+BAND = 4 / 3
 #: Pieces of a band's sketch per element of its largest set: some more than the 1/3 that may differ, as some are empty.
 PIECES = 0.38
 #: Entries of a block before it is packed and sent.
@@ -115,9 +116,9 @@ def piece_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The 64-bit keys on which a set joins."""
     out, n = [], len(s)
     own = band_of(n)
-    for b in (own, own - 1):
-        if b < 0 or b < own and 100 * top(b) < percent * n:
-            continue
+    for b in range(own, -1, -1):
+        if b < own and 100 * top(b) < percent * n:
+            break
         pieces = int(PIECES * top(b)) + 1
         x = mix(s + np.uint64(b + 1))
         piece = ((x >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
@@ -296,10 +297,17 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_pieces(matches: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of pieces whose nodes lie in different components, with label, size, sketch and number of blocks."""
-    placed = matches.select("piece", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("piece").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("piece", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
-    return placed.join(mixed, "piece").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    """The rows of pieces with untested pairs of nodes in different components: label, size, sketch, number of blocks.
+
+    Pairs with a piece's least node are tested already, so that node is left out (unless blocks of documents
+    named different least nodes for one piece), and with it all pieces of two nodes.
+    """
+    placed = matches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    other = F.when(F.col("node") != F.col("least"), F.col("label"))
+    per_piece = placed.groupBy("piece").agg(F.min("least").alias("l1"), F.max("least").alias("l2"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(other).alias("lo2"), F.max(other).alias("hi2"), F.count("*").alias("members"))
+    mixed = per_piece.where("(l1 = l2 and lo2 < hi2) or (l1 < l2 and lo < hi)").select("piece", "l1", "l2", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
+    rows = placed.join(mixed, "piece").where("l1 < l2 or node <> least").select("piece", "node", "label", "blocks").distinct()
+    return rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
 
 
 def cross_pairs(rows: DataFrame, tested: DataFrame, percent: int, most: int) -> DataFrame:
@@ -411,7 +419,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     described = both.where("piece is null").select("doc_id", "n_shingles", "node", "sketch")
     matches = both.where("piece is not null").select("piece", "node", "least")
     nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
-    met = shared_table(matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times")), "met")
+    sizes = nodes.select("node", "n_shingles")
+    met = matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times")).join(sizes.toDF("node", "n"), "node").join(sizes.toDF("least", "m"), "least")
+    met = shared_table(met.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("node", "least", "times"), "met")
     # first, of the least nodes of its pieces, each node is checked against the one it meets most often
     best = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))
     tested = shared_table(plausible(best, nodes, percent), "stars")
@@ -420,7 +430,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     labels = connected_components(links)
     # then against the others, where they still lie apart; then all members of a piece, few pairs at a time
     apart = met.join(labels.select(F.col("node"), F.col("label").alias("x")), "node", "left").join(labels.select(F.col("node").alias("least"), F.col("label").alias("y")), "least", "left").where("coalesce(x, node) <> coalesce(y, least)").select(F.col("least").alias("a"), F.col("node").alias("b")).join(tested, ["a", "b"], "left_anti")
-    more, most, left = shared_table(plausible(apart, nodes, percent), "stars"), 1, True
+    more, most, left = shared_table(plausible(apart, nodes, percent), "stars"), 3, True
     while True:
         if not more.isEmpty():
             found = shared_table(verify(more, docs, nodes, shingle, percent), "links")
@@ -429,11 +439,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
                 labels = connected_components(links)
         if not left:
             break
-        most *= 16
         rows = shared_table(mixed_pieces(matches, labels, nodes), "mixed")
         release(docs)
         cross = shared_table(cross_pairs(rows, tested, percent, most), "cross")
-        more, left = cross.where("a is not null"), not cross.where("a is null").isEmpty()
+        more, left, most = cross.where("a is not null"), not cross.where("a is null").isEmpty(), most * 16
     named = nodes.select("node", "doc_id").join(labels, "node").select("node", "label", "doc_id")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
     # nodes without links stand for their equal sets only
