@@ -6,6 +6,7 @@ Every entry is a plan, dialect text or JSON plan run by the engine; result colum
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.operators.kmeans import assign
 from millrace.plans import nodes as N
 from millrace.session import Session
+from millrace.sources.pipe_csv import read_self_describing, write_pipe_csv, write_self_describing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,6 +236,38 @@ def _inserted(s: Session) -> DataFrame:
     return s.sql("select * from pets")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared ``spark.checkpoint.dir`` (a local default only where it is unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_ORDER_COLUMNS = (("O_ORDERKEY", "OID"), ("O_CUSTKEY", "OID"), ("O_ORDERSTATUS", "CHAR"), ("O_TOTALPRICE", "DOUBLE"), ("O_ORDERDATE", "DATE"), ("O_ORDERPRIORITY", "VARCHAR"))
+
+
+def _export_csv(s: Session) -> DataFrame:
+    """Export with a header, read back as text."""
+    path = _scratch(s.catalog.spark, "nation-csv")
+    s.run(N.Export(NATION, path))
+    return s.catalog.spark.read.option("sep", "|").option("header", True).csv(path)
+
+
+def _create_csv(s: Session) -> DataFrame:
+    """Read separated text with a fixed schema."""
+    path = _scratch(s.catalog.spark, "orders-csv")
+    write_pipe_csv(s.catalog.table("orders").df, path, header=False)
+    return s.run(N.Create("ORDERS_CSV", _ORDER_COLUMNS, path))
+
+
+def _self_csv(s: Session) -> DataFrame:
+    path = _scratch(s.catalog.spark, "part-table")
+    write_self_describing(s.catalog.table("part").df, path)
+    return read_self_describing(s.catalog.spark, path)
+
+
+add("export_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation", _export_csv)
+add("create_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, floor(o_totalprice * 100 + 0.50337) / 100 AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders", _create_csv)
+add("self_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, floor(p_retailprice * 100 + 0.50337) / 100 AS p_retailprice FROM part", _self_csv)
 add("store_rename_table", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2", _stored)
 add("insert_values", "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'cat', CAST(4.5 AS DOUBLE), '2020-01-31'), (2, 'dog', -1, '2021-02-01')) t(id, name, weight, born)", _inserted)
 add("system_schema", "SELECT 'REGION' AS table_name, upper(name) AS column_name, CASE type WHEN 'INTEGER' THEN 'INT' ELSE 'VARCHAR' END AS attribute_type FROM pragma_table_info('region')", "select table_name, column_name, attribute_type from sys_database_schema where table_name = 'REGION'")
