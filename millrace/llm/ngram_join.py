@@ -12,11 +12,10 @@ partner within the size bound can be in. Pieces are XOR hashes of their toggled
    become one node); the pieces of each node, packed by bucket, meet by bucket. Pieces shared within one
    block of documents are pre-aggregated before the shuffle (one entry goes on), so a frequent piece costs
    one entry per block. Result: (piece, node) of pieces that two nodes share, with the piece's least node.
-2. Every node is verified against the least node it meets most often, if the Hamming bound allows; links
-   give components. Then against its other least nodes that lie in other components. Then, of nodes that
-   share a piece but lie in different components, all pairs that the size and Hamming bounds allow are
-   verified, nearest first and more in each round, until no untested pair between different components is
-   left. Large pieces are compared block by block. So no link between different components is lost.
+2. Every node is verified against the least nodes of its pieces that the size and Hamming bounds allow;
+   links give components. Then, of nodes that share a piece but lie in different components, all pairs
+   within the bounds are verified, nearest first and more in each round, until no untested pair between
+   different components is left. Large pieces are compared block by block. So no link between different components is lost.
 
 Work is linear in shingles and in matches; no stage emits the pairs of a group. Nodes are named by 64-bit
 digests of their sets, shingles and words by 64-bit hashes.
@@ -28,6 +27,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -420,19 +420,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     matches = both.where("piece is not null").select("piece", "node", "least")
     nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     sizes = nodes.select("node", "n_shingles")
-    met = matches.where("least < node").groupBy("node", "least").agg(F.count("*").alias("times")).join(sizes.toDF("node", "n"), "node").join(sizes.toDF("least", "m"), "least")
-    met = shared_table(met.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("node", "least", "times"), "met")
-    # first, of the least nodes of its pieces, each node is checked against the one it meets most often
-    best = met.groupBy("node").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("a")).select("a", F.col("node").alias("b"))
-    tested = shared_table(plausible(best, nodes, percent), "stars")
+    met = matches.where("least < node").select("node", "least").distinct().join(sizes.toDF("node", "n"), "node").join(sizes.toDF("least", "m"), "least")
+    met = shared_table(met.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("node", "least"), "met")
+    # first each node against the least nodes of its pieces; then all members of a piece, few pairs at a time
+    more = shared_table(plausible(met.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, percent), "stars")
     release(docs)
-    links = shared_table(verify(tested, docs, nodes, shingle, percent), "links")
-    labels = connected_components(links)
-    # then against the others, where they still lie apart; then all members of a piece, few pairs at a time
-    apart = met.join(labels.select(F.col("node"), F.col("label").alias("x")), "node", "left").join(labels.select(F.col("node").alias("least"), F.col("label").alias("y")), "least", "left").where("coalesce(x, node) <> coalesce(y, least)").select(F.col("least").alias("a"), F.col("node").alias("b")).join(tested, ["a", "b"], "left_anti")
-    more, most, left = shared_table(plausible(apart, nodes, percent), "stars"), 3, True
-    while True:
-        if not more.isEmpty():
+    tested, links = more, shared_table(verify(more, docs, nodes, shingle, percent), "links")
+    labels, most, left = connected_components(links), 3, True
+    for turn in itertools.count():
+        if turn and not more.isEmpty():
             found = shared_table(verify(more, docs, nodes, shingle, percent), "links")
             tested, links = tested.unionByName(more), links.unionByName(found)
             if not found.isEmpty():
