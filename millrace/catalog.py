@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,22 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, Table] = {}
+        self.pending: dict[str, tuple[Callable[[], DataFrame], str | None]] = {}
+
+    def register_later(self, name: str, load: Callable[[], DataFrame], primary_key: str | None = None) -> None:
+        """A table whose file is only opened when a plan names it; the key is taken as given."""
+        self.pending[name.upper()] = (load, primary_key)
+
+    def open(self, *names: str) -> None:
+        """Open pending tables: the named ones, or all."""
+        for n in names or list(self.pending):
+            if n.upper() in self.pending:
+                load, key = self.pending.pop(n.upper())
+                self.register(n, load()).primary_key = key
 
     def register(self, name: str, df: DataFrame, replace: bool = False) -> Table:
         name = name.upper()
-        if name in self.tables and not replace:
+        if (name in self.tables or name in self.pending) and not replace:
             raise PlanError(f"table {name} exists already")
         # timestamps are dates here; the cast keeps the scan's other columns pushed down
         cols = [F.to_date(F.col(f"`{c}`")).alias(c.upper()) if t.startswith("timestamp") else F.col(f"`{c}`").alias(c.upper()) for c, t in df.dtypes]
@@ -38,6 +51,7 @@ class Catalog:
         return self.tables[name]
 
     def table(self, name: str) -> Table:
+        self.open(name)
         if name.upper() not in self.tables:
             system = self.system_table(name.upper())
             if system is None:
@@ -47,9 +61,11 @@ class Catalog:
 
     def owners(self, column: str) -> list[str]:
         """Tables with that column."""
+        self.open()
         return [n for n, t in self.tables.items() if column.upper() in t.df.columns]
 
     def drop(self, name: str) -> None:
+        self.open(name)
         t = self.tables.pop(name.upper(), None)
         if t is None:
             raise PlanError(f"no table {name}")
@@ -59,6 +75,7 @@ class Catalog:
     def rename(self, old: str, new: str) -> bool:
         """False if ``old`` is missing or ``new`` is taken."""
         old, new = old.upper(), new.upper()
+        self.open(old, new)
         if old not in self.tables or new in self.tables:
             return False
         t = self.tables.pop(old)
@@ -113,6 +130,8 @@ class Catalog:
         return self.table(table).df.agg(F.percentile_approx(column.upper(), shares, 10_000)).first()[0]
 
     def system_table(self, name: str) -> DataFrame | None:
+        if name.startswith("SYS_"):
+            self.open()
         if name == "SYS_DATABASE_SCHEMA":
             rows = [(t.name, c, type_name(f.dataType)) for t in self.tables.values() for c, f in zip(t.df.columns, t.df.schema.fields, strict=True)]
             return self.spark.createDataFrame(rows, "TABLE_NAME string, COLUMN_NAME string, ATTRIBUTE_TYPE string")
@@ -147,6 +166,7 @@ class Catalog:
 
     def unload(self) -> None:
         self.tables.clear()
+        self.pending.clear()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

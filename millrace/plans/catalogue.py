@@ -66,7 +66,7 @@ def _cents_sql(sql: str) -> str:
 
 def star_schema(s: Session) -> None:
     """The star schema as views over the standard tables; nothing is materialised."""
-    t = {n.lower(): x.df for n, x in s.catalog.tables.items()}
+    t = {n: s.catalog.table(n).df for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     place = t["nation"].join(t["region"], F.col("N_REGIONKEY") == F.col("R_REGIONKEY"))
     place = place.select("N_NATIONKEY", "N_NAME", "R_NAME")
     views = {

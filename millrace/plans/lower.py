@@ -374,7 +374,7 @@ class Engine:
 
     def _store(self, p: N.Store) -> Frame:
         f = self.lower(p.child)
-        if p.table.upper() in self.catalog.tables:
+        if p.table.upper() in {*self.catalog.tables, *self.catalog.pending}:
             raise PlanError(f"table {p.table} exists already")
         self.catalog.register(p.table, f.result())
         if p.persist:

@@ -24,10 +24,7 @@ class Session:
         """A session over a folder of ``<table>.parquet``; its keys are taken as given, not checked."""
         s = cls(spark)
         for t in tables:
-            s.catalog.register(t, spark.read.parquet(f"{folder}/{t}.parquet"))
-        for t, c in PRIMARY.items():
-            if t in s.catalog.tables:
-                s.catalog.add_primary_key(t, c, check=False)
+            s.catalog.register_later(t, lambda t=t: spark.read.parquet(f"{folder}/{t}.parquet"), PRIMARY.get(t.upper()))
         return s
 
     def run(self, plan: Node) -> DataFrame:
