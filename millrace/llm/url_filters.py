@@ -1,9 +1,10 @@
 """URL filters: stated host-and-path rules first, association rules mined by FP-growth for the rest.
 
-A URL's tokens are its host labels (and their hyphenated parts), its leading domain pairs, its first path segments without
-numbers and its query keys. Labelled URLs become transactions of their tokens plus a class item; Spark's
-FP-growth mines frequent token combinations, and rules ``tokens -> bad`` are kept by support and
-confidence; a rule that contains a kept, shorter one is redundant and dropped. The kept rules sit in an
+A URL's tokens are its host labels (and their hyphenated parts), its leading domain pairs, all its path segments, its
+query keys and its query values; ``#`` stands for each number in segments and values. Labelled URLs become transactions of
+their tokens plus a class item; Spark's FP-growth mines frequent token combinations, and rules ``tokens -> bad`` of any
+length are kept by support and confidence; a rule that contains a kept, shorter one is redundant and dropped. Tokens that
+occur in exactly the same labelled URLs (the segments of one deep path) are mined as one and put back in the rules. The kept rules sit in an
 inverted index under their rarest token, so a URL is only compared with rules one of its tokens leads to.
 
 Defined results: null or a URL without ``://`` has empty host and path; ties between stated rules of equal
@@ -13,6 +14,7 @@ repeated rows are judged each by itself; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ from millrace.llm.common import LOWER, column, only
 BAD = "=bad"
 _HOST = re.compile(rb"://([^/?#]*)([^?#]*)")
 _KEY = re.compile(rb"[?&]([^=&#]+)")
+_VALUE = re.compile(rb"[?&]([^=&#]+=[^&#]+)")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -42,8 +45,11 @@ def url_tokens(url: str | None) -> list[str]:
     labels = [x for x in re.split(r"[.:@]", host) if x]
     out = {f"h:{x}" for x in labels} | {f"w:{y}" for x in labels if "-" in x for y in x.split("-") if y}
     out |= {f"d:{'.'.join(labels[-k:])}" for k in (2, 3) if len(labels) >= k}
-    out |= {f"p:{x}" for x in [y for y in path.lower().split("/") if y][:2] if not re.search(r"\d", x)}
-    out |= {f"q:{k.decode('utf-8', 'replace').lower()}" for k in _KEY.findall(url.encode("utf-8", "surrogatepass"))}
+    # "#" ends a path or query, so it can't be part of a segment or value
+    out |= {"p:" + re.sub(r"\d+", "#", x) for x in path.lower().split("/") if x}
+    raw = url.encode("utf-8", "surrogatepass")
+    out |= {f"q:{k.decode('utf-8', 'replace').lower()}" for k in _KEY.findall(raw)}
+    out |= {"v:" + re.sub(r"\d+", "#", v.decode("utf-8", "replace").lower()) for v in _VALUE.findall(raw)}
     return sorted(out)
 
 
@@ -70,27 +76,42 @@ def tokenised(urls: DataFrame, keep: list[str]) -> DataFrame:
     return only(urls, *dict.fromkeys([*keep, "url"])).mapInArrow(run, schema)
 
 
-def mine_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, max_tokens: int = 3, min_count: int = 5) -> list[tuple[frozenset[str], float, float]]:
+def _same_urls(marked: DataFrame, least: int) -> list[list[str]]:
+    """Groups of tokens that occur in exactly the same rows (their count and two 64-bit hash sums agree), each sorted."""
+    rows = marked.select(F.explode("tokens").alias("t"), *[F.xxhash64(F.lit(k), "page_id", "tokens").cast("decimal(20,0)").alias(f"h{k}") for k in (0, 1)])
+    found: dict[tuple, list[str]] = {}
+    for r in rows.groupBy("t").agg(F.count("*").alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where(F.col("n") >= least).collect():
+        found.setdefault((r.n, r.h0, r.h1), []).append(r.t)
+    return [sorted(g) for g in found.values()]
+
+
+def mine_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, min_count: int = 5) -> list[tuple[frozenset[str], float, float]]:
     """(tokens, confidence, support) of the kept rules. ``labels``: page_id, bad (boolean). A rule must hold for
     ``min_support`` of the labelled URLs and for ``min_count`` of them.
 
-    At most 1 / min_support single tokens are frequent, so the rules that come to the driver are bounded
+    The frequent tokens that come to the driver are at most a URL's tokens / min_support, so they are bounded
     by the thresholds, not by the input.
     """
-    marked = tokenised(urls, ["page_id"]).join(labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id")
-    items = marked.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).persist()
+    marked = tokenised(urls, ["page_id"]).join(labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id").persist()
     try:
-        if items.where(F.array_contains("items", BAD)).isEmpty():
+        if marked.where("bad").isEmpty():
             return []
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / items.count())), minConfidence=min_confidence).fit(items)
-        rows = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_tokens)).select("antecedent", "confidence", "support").collect()
+        n = marked.count()
+        support = min(1.0, max(min_support, min_count / n))
+        same = {g[0]: g for g in _same_urls(marked, int(support * n))}
+        again = [t for g in same.values() for t in g[1:]]
+        tokens = F.array_except("tokens", F.array(*map(F.lit, again))) if again else F.col("tokens")
+        items = marked.select(F.when(F.col("bad"), F.array_append(tokens, F.lit(BAD))).otherwise(tokens).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+        rows = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support").collect()
     finally:
-        items.unpersist()
+        marked.unpersist()
+    order = lambda r: (len(r[0]), -r[1], -r[2], sorted(r[0]))
     kept: list[tuple[frozenset[str], float, float]] = []
-    for tokens, confidence, support in sorted(((frozenset(r[0]), r[1], r[2]) for r in rows), key=lambda r: (len(r[0]), -r[1], -r[2], sorted(r[0]))):
+    for tokens, confidence, support in sorted(((frozenset(r[0]), r[1], r[2]) for r in rows), key=order):
         if not any(k[0] <= tokens for k in kept):
             kept.append((tokens, confidence, support))
-    return kept
+    return sorted(((frozenset(t), c, s) for k, c, s in kept for t in itertools.product(*[same.get(x, [x]) for x in k])), key=order)
 
 
 class RuleIndex:

@@ -82,3 +82,31 @@ def test_mined_rules_block_held_out_urls(spark):
     assert all((v == "block") == (k % 4 == 0) for k, v in got.items()) and len(got) == 200
     assert url_filters.mine_rules(pages, labels.where("not bad")) == []
     assert url_filters.judge(pages.limit(0), URL_RULES, mined).count() == 0
+
+
+def test_tokens_of_the_whole_url():
+    got = url_filters.url_tokens("https://a.example.com/en/x1/Third/casino24/?id=77&Pick=Slots9&flag#/no")
+    assert {t for t in got if t[:2] in ("p:", "q:", "v:")} == {"p:en", "p:x#", "p:third", "p:casino#", "q:id", "q:pick", "q:flag", "v:id=#", "v:pick=slots#"}
+
+
+def test_rules_from_deep_paths_values_and_many_tokens(spark):
+    def url(i):
+        if i % 3 == 0:
+            return f"https://h{i % 7}.com/a/{i}/c/{'casino' if i % 2 else 'garden'}{i}/"
+        if i % 3 == 1:
+            return f"https://h{i % 7}.com/?pick={'slots' if i % 2 else 'seeds'}{i}"
+        return f"https://h{i % 7}.com/?" + "&".join(k for b, k in enumerate("abcd") if (i // 3) >> b & 1)
+
+    bad = lambda i: (i // 3) % 16 == 15 if i % 3 == 2 else i % 2 == 1
+    pages = spark.createDataFrame([(i, url(i)) for i in range(960)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad(i)) for i in range(480)], "page_id long, bad boolean")
+    mined = [r[0] for r in url_filters.mine_rules(pages, labels)]
+    assert frozenset(f"q:{k}" for k in "abcd") in mined
+    assert {r.page_id for r in url_filters.judge(pages.where("page_id >= 480"), [], mined).where("verdict = 'block'").collect()} == {i for i in range(480, 960) if bad(i)}
+
+
+def test_long_shared_path_is_mined_as_one(spark):
+    deep = lambda kind: "/".join(f"{kind}{chr(97 + k)}" for k in range(26))
+    pages = spark.createDataFrame([(i, f"https://h.com/{deep('bad' if i % 2 else 'good')}") for i in range(40)], "page_id long, url string")
+    rules = url_filters.mine_rules(pages, spark.createDataFrame([(i, i % 2 == 1) for i in range(40)], "page_id long, bad boolean"))
+    assert [r[0] for r in rules] == [frozenset([f"p:bad{chr(97 + k)}"]) for k in range(26)] and {r[1:] for r in rules} == {(1.0, 0.5)}
