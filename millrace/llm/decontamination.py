@@ -8,16 +8,18 @@ room for the whole window (length bound); the words there are then compared one
 
 The benchmark is joined in blocks of at most ``block_words`` words, so what is sent to the executors has
 a fixed bound, however large the benchmark is; each block is one pass over the documents. One block
-needs no shuffle at all; several are put together per document by one aggregation of hit spans.
+needs no shuffle at all; for several the documents are written with a row key first, and the hit spans put
+together per row by one aggregation.
 
-Defined results: null or wordless texts have no words and no hits; wordless or null items have no window;
-an empty benchmark leaves every document clean; repeated rows are judged each by itself (several blocks:
-rows with one doc_id are taken together, so doc_id must then be unique); extra columns are ignored.
+Defined results: null or wordless texts have no words and no hits; wordless or null texts of items have no window;
+items without an id count as one item, null, last in ``items``; an empty benchmark leaves every document clean;
+repeated rows, and rows with a null doc_id, are judged each by itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ALNUM, column, only, texts
+from millrace.llm.common import ALNUM, column, only, shared_table, texts
 
 #: Words of a shingle; windows of fewer words are one shingle.
 SHINGLE = 3
@@ -35,9 +37,9 @@ SHINGLE = 3
 class WindowIndex:
     """Windows of some items, found by their rarest shingle. Word ids are below 2**21, so a shingle packs into 63 bits."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set[str]] = {}
+        held: dict[tuple[int, ...], set[str | None]] = {}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for i in range(max(1, len(ids) - window + 1)) if ids else ():
@@ -99,10 +101,10 @@ class WindowIndex:
         return (np.concatenate(starts) if starts else none), (np.concatenate(found) if found else none)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of about ``block_words`` words; one partition at a time comes to the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     for r in rows.toLocalIterator():
         words = r.text.encode().translate(ALNUM).split()
         if block and size + len(words) > block_words:
@@ -113,8 +115,8 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def find_spans(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    """doc_id, n_words, starts, ends (merged hit spans in words), items (whose windows occur) for one block."""
+def find_spans(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keys`` (long), n_words, starts, ends (merged hit spans in words), items (whose windows occur) for one block."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,24 +132,28 @@ def find_spans(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: in
                 n_words.append(len(words))
                 begins.append(s[new].tolist())
                 ends.append(e[np.r_[new[1:] - 1, len(e) - 1]].tolist() if len(s) else [])
-                items_found.append(sorted(set().union(*(index.items[k] for k in set(w.tolist())))) if len(w) else [])
+                items_found.append(sorted(set().union(*(index.items[k] for k in set(w.tolist()))), key=lambda x: (x is None, x)) if len(w) else [])
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items_found, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "starts", "ends", "items"],
+                [*(column(b, k).cast(pa.int64()) for k in keys), pa.array(n_words, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items_found, pa.list_(pa.string()))],
+                [*keys, "n_words", "starts", "ends", "items"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return only(docs, *keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, starts, ends, items per document, over the whole benchmark."""
-    parts = [find_spans(docs, block, window) for block in _blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    together = every.groupBy("doc_id").agg(
+    blocks = _blocks(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return find_spans(docs, block, window)
+    # written once: all blocks then see the same row keys
+    keyed = shared_table(only(docs, "doc_id", "text").withColumn("row_key", F.monotonically_increasing_id()), "documents-keyed")
+    every = find_spans(keyed, block, window, ("row_key", "doc_id"))
+    for block in itertools.chain([following], blocks):
+        every = every.unionByName(find_spans(keyed, block, window, ("row_key", "doc_id")))
+    together = every.groupBy("row_key").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

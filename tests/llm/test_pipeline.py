@@ -53,6 +53,30 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert decontamination.decontamination_report(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 3])
+def test_decontamination_judges_each_row_by_itself(spark, block_words):
+    docs = [(1, TEXTS[0]), (1, TEXTS[0]), (1, "clean"), (None, TEXTS[1]), (None, "uno"), (None, None)]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = decontamination.decontamination_report(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_words=block_words)
+    want = [(d, *brute_hits([(0, t)], ITEMS)[0]) for d, t in docs]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 3])
+def test_items_without_id_count_as_in_the_sql(spark, tmp_path, monkeypatch, block_words):
+    duckdb = pytest.importorskip("duckdb")
+    bench = [*ITEMS, (None, "uno"), (None, "z z"), (None, ITEMS[0][1]), (None, None)]
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    whole = decontamination.decontamination_report
+    monkeypatch.setattr(decontamination, "decontamination_report", lambda d, b: whole(d, b, block_words=block_words))
+    got = queries.op3_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.sql(queries.ORACLE_SQL["op3_decontamination"]).fetchall())
+
+
 def check_packing(pieces, docs):
     from tokenizers import Tokenizer
 
