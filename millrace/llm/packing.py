@@ -45,7 +45,9 @@ class WordEncoder:
     """Ids of a text, put together from cached ids of its white-space separated words.
 
     Valid for tokenizers that drop case and white space and never merge across it (the word-level BPE here):
-    the ids of a text are then the concatenation of its words' ids. Misses are encoded together.
+    the ids of a text are then the concatenation of its words' ids. Misses are encoded together. Texts that hold
+    one of the tokenizer's special strings as they stand go through the whole tokenizer; words never give a special id,
+    as a lower-cased ``<|ENDOFTEXT|>`` is none.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -53,6 +55,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
         self.dtype = dtype
         self.cache: dict[bytes, bytes] = {}
 
@@ -110,11 +114,16 @@ class WordEncoder:
     def encode_batch(self, batch: list[bytes | None]) -> Iterator[bytes]:
         """The little-endian ids of each text; words new to the cache are learnt in groups of texts."""
         for i in range(0, len(batch), 256):
-            split = [(t or b"").translate(LOWER).split() for t in batch[i : i + 256]]
+            group = [t or b"" for t in batch[i : i + 256]]
+            whole = {k for k, t in enumerate(group) if any(s in t for s in self.special)}
+            split = [[] if k in whole else t.translate(LOWER).split() for k, t in enumerate(group)]
             new = set().union(*split).difference(self.cache) if split else set()
             if new:
                 self._learn(new)
-            for words in split:
+            for k, words in enumerate(split):
+                if k in whole:
+                    yield np.array(self.whole.encode(group[k].decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+                    continue
                 try:
                     yield b"".join([self.cache[w] for w in words])
                 except KeyError:  # the cache was emptied for this group

@@ -117,6 +117,13 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_special_strings(spark):
+    special = "été Straße! don't <|endoftext|> a\x01b " * 900
+    docs = [(1, special), (2, special.replace("<|endoftext|>", "")), (3, "A<|endoftext|>B<|startoftext|>"), (4, "<|ENDOFTEXT|> <|EndOfText|>"), (5, "<|ENDOFTEXT|> <|endoftext|>"), (6, "<|end oftext|>"), (7, "<|endoftext|>"), (8, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check_packing(packing.pack(frame, queries.tokenizer_path()).collect(), docs)
+
+
 def test_rules_find_planted_junk(spark):
     rng = np.random.default_rng(1)
     good = [" ".join(f"w{x}" for x in rng.integers(0, 900, 60)) + "." for _ in range(150)]
