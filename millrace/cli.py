@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import shlex
 import sys
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -28,6 +29,7 @@ IGNORED = ("setdevice", "setparallelizationmode")
 class Interpreter:
     def __init__(self, session: Session, out: Callable[[str], None] = print):
         self.s, self.out, self.history, self.started = session, out, [], 0.0
+        self.printing = threading.Lock()
         self.settings = session.engine.settings
         self.settings.update({"result_output_format": "table", "genotype_frequency_min": "0.2", "genotype_frequency_max": "0.8"})
         c = self.s.catalog
@@ -62,7 +64,9 @@ class Interpreter:
         else:
             raise PlanError(f"unknown command {name}")
         if hasattr(result, "collect"):
-            self.out(render(result, self.settings["result_output_format"]))
+            with self.printing:  # the parts of a result stay together
+                for part in render(result, self.settings["result_output_format"]):
+                    self.out(part)
         elif result is not None:
             self.out(str(result))
         return result

@@ -142,6 +142,20 @@ def test_command_interpreter(spark, s, tmp_path):
             it.execute(bad)
 
 
+def test_large_results_are_whole_or_say_so(spark, s):
+    s.catalog.register("big", spark.range(10_003).selectExpr("id as K"))
+    said = []
+    it = Interpreter(s, said.append)
+    it.execute("exec select k from big")
+    assert said[-1].endswith("\nfirst 10000 rows, more left out")
+    for kind, head in (("csv", ["K"]), ("sam", [])):
+        said.clear()
+        it.execute(f"set result_output_format={kind}")
+        it.execute("exec select k from big")
+        lines = "\n".join(said).split("\n")
+        assert lines[: len(head)] == head and sorted(lines[len(head) :], key=int) == [str(k) for k in range(10_003)]
+
+
 def test_kmeans_finds_separate_clusters(spark):
     points = spark.createDataFrame([(float(c * 10 + i % 3), float(c * 5 + i % 2)) for c in range(4) for i in range(30)], "x double, y double")
     centres = kmeans(points, [(0.0, 0.0), (9.0, 4.0), (21.0, 9.0), (33.0, 20.0)], ["x", "y"])
