@@ -8,7 +8,8 @@ calibrated on labelled documents it never trained on, and a small logistic model
 views. Every document is then scored in one scan, without a shuffle.
 
 Fitting uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents (documented bounds),
-both taken by a hash of doc_id over the whole tables; only their hashed features come to the driver.
+both taken by a hash of doc_id over all documents; only their hashed features come to the driver. The bounds are the
+same at every input size: pseudo-labels, bucket counts and layout means come from these documents only.
 
 Defined results: null text is empty text; null language, source or size are values of their own; a document
 labelled twice has its worst label; without labels of both classes a target's model says "good" with 0.5 for
@@ -215,8 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_pool:
     """A co-trained model per target."""
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = marked.orderBy(*by_hash).limit(max_labelled)
-    free = only(docs, "doc_id").where("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*by_hash).limit(max_pool)
+    ids = only(docs, "doc_id").where("doc_id is not null")
+    # labels of absent documents don't use up the bound
+    sample = marked.join(ids, "doc_id", "left_semi").orderBy(*by_hash).limit(max_labelled)
+    free = ids.join(marked.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*by_hash).limit(max_pool)
     chosen = sample.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
     base = only(docs, "doc_id", "text", *_META).join(F.broadcast(chosen), "doc_id")
     rows = views(base.select("text", *_META, F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.hash("doc_id").alias("place")), ["quality", "toxic", "place"]).toPandas()

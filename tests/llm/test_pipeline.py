@@ -194,3 +194,13 @@ def test_classifier_handles_nulls_and_no_labels(spark):
     assert models == {"quality": None, "toxic": None}
     assert [r.kept for r in quality_classifier.score(docs, models).collect()] == [True] * 3
     assert quality_classifier.reject(docs, labels).count() == 3 and quality_classifier.reject(docs.limit(0), labels).count() == 0
+
+
+def test_labels_of_absent_documents_leave_the_bound_alone(spark):
+    rows, labels = corpus(spark, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    absent = [(10_000 + i, i % 2, 0) for i in range(5_000)]
+    alone, among = (quality_classifier.fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int"), max_labelled=100) for x in (labels, labels + absent))
+    assert alone["quality"] and among["quality"]
+    got = [sorted(map(tuple, quality_classifier.score(docs, m).collect())) for m in (alone, among)]
+    assert got[0] == got[1]
