@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,11 @@ ALNUM = bytes(
 #: A-Z to a-z only; ``bytes.split()`` then cuts at 0x20 and 0x09-0x0D exactly.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Spark's setting that removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TABLES: list[tuple[SparkSession, str]] = []
+_PATHS: dict[int, tuple] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local default only where it is unset (tests)."""
@@ -31,17 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_table(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage: an executor lost later costs a re-read, never a recomputation. The folder is
-    removed when the driver process ends.
+    Cuts the lineage: an executor lost later costs a re-read, never a recomputation. The shuffle files of the
+    writing go as soon as it ends; the folder is removed by ``drop_tables`` or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _TABLES.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove the folders of shared tables that nothing reads any more."""
+    for df in tables:
+        ref, path = _PATHS.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            _remove(df.sparkSession, path)
+            _TABLES.remove((df.sparkSession, path))
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _TABLES:
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -53,12 +80,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release(df: DataFrame) -> None:
-    """Let the driver's JVM collect finished plans, so that their shuffle files go before the next step needs disk."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes (null stays None)."""
     col = batch.column(batch.schema.get_field_index(name))

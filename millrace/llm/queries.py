@@ -152,7 +152,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
 w AS (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+'))) AS ws FROM l),
-c AS (SELECT line, ws, len(ws) AS n, row_number() OVER () AS k, min({'d': doc_id, 'i': i}) AS f FROM w WHERE len(ws) >= 5 GROUP BY line, ws),
+c AS (SELECT line, ws, len(ws) AS n, row_number() OVER () AS k, min({'d': doc_id, 'i': i}) AS f FROM w WHERE len(ws) >= 1 GROUP BY line, ws),
 t AS (SELECT k, n, unnest(ws) AS t FROM c),
 v AS (SELECT t, count(*) AS df FROM t GROUP BY t),
 r AS (SELECT k, n, t, row_number() OVER (PARTITION BY k ORDER BY df, t) AS p FROM t JOIN v USING (t)),
