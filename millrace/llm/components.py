@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import shared_table
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """node, label (least node of its component) for every node of ``links`` (a, b: any order, repeats allowed).
 
     Each round takes the least label among a node's neighbours (aggregated before the shuffle), hooks the
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = links.select("a", "b").where("a <> b")
     edges = shared_table(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = shared_table(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
         met = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new"))
         hooked = met.groupBy(F.col("label").alias("node")).agg(F.min("new").alias("hook"))
@@ -28,4 +28,3 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = after.select("node", "label")
         if after.where("changed").isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -13,8 +13,8 @@ partner within the size bound can be in. Pieces are XOR hashes of their toggled
    block of documents are pre-aggregated before the shuffle (one entry goes on), so a frequent piece costs
    one entry per block. Result: (piece, node) of pieces that two nodes share, with the piece's least node.
 2. Every node is verified against the least nodes of its pieces that the size and Hamming bounds allow;
-   links give components. Then, of nodes that share a piece but lie in different components, all pairs
-   within the bounds are verified, nearest first and more in each round, until no untested pair between
+   links give components. Then nodes that share a piece but lie in different components are verified: each
+   component's nearest pairs first and more in each round, until no untested pair within the bounds between
    different components is left. Large pieces are compared block by block. So no link between different components is lost.
 
 Work is linear in shingles and in matches; no stage emits the pairs of a group. Nodes are named by 64-bit
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, column, only, partitions, release, shared_table, texts
+from millrace.llm.common import LOWER, column, drop_tables, only, partitions, shared_table, texts
 from millrace.llm.components import connected_components
 from millrace.llm.repeats import WORDS, WordHashes
 
@@ -274,7 +274,9 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, pe
 
     left = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    links = shared_table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    drop_tables(elements)
+    return links
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -310,16 +312,16 @@ def mixed_pieces(matches: DataFrame, labels: DataFrame, nodes: DataFrame) -> Dat
     return rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
 
 
-def cross_pairs(rows: DataFrame, tested: DataFrame, percent: int, most: int) -> DataFrame:
-    """Untested pairs (a, b) that share a piece, lie in different components and pass the size and Hamming bounds.
+def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) that share a piece, lie in different components and pass the size and Hamming bounds.
 
-    Of the pairs of two components under one piece, the ``most`` nearest in sketches come out: one link joins
-    them, so further ones are only needed where these fail; a pair of nulls says that some were left. A piece of over SIDE members is dealt into blocks;
-    each pair of blocks is compared by itself.
+    Under one piece, each component gives the ``most`` pairs nearest in sketches to any others: links merge at
+    least half of what can be linked, so further pairs are only needed in later rounds; a pair of nulls says that some were
+    left. What comes out grows with the members of pieces, not with their pairs. A piece of over SIDE members is
+    dealt into blocks; each pair of blocks is compared by itself.
     """
-    partners = tested.select(F.col("a").alias("node"), F.col("b").alias("other")).union(tested.select("b", "a")).groupBy("node").agg(F.collect_set("other").alias("tested"))
     i = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = rows.join(partners, "node", "left").withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch", "tested")
+    dealt = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("piece", "p", "q", "i", "node", "label", "n_shingles")
@@ -344,7 +346,7 @@ def cross_pairs(rows: DataFrame, tested: DataFrame, percent: int, most: int) ->
                         known[key] = far / (m + k)
             return known[key]
 
-        def solve(block: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sk: list[bytes], tested: list, apart: bool) -> Iterator[tuple]:
+        def solve(block: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sk: list[bytes], apart: bool) -> Iterator[tuple]:
             found = []
             if len(node) <= 4:
                 for x in range(len(node)):
@@ -374,26 +376,24 @@ def cross_pairs(rows: DataFrame, tested: DataFrame, percent: int, most: int) ->
                                 total = n[at[r]] + n[large[c]]
                                 near = far * (100 + percent) <= (100 - percent) * total
                                 found += zip((far[near] / total[near]).tolist(), at[r[near]].tolist(), large[c[near]].tolist(), strict=True)
-            given: dict[tuple[int, int], int] = {}
+            given: dict[int, int] = {}
             for _, x, y in sorted(found):
-                parts = (min(label[x], label[y]), max(label[x], label[y]))
-                if int(node[y]) in (tested[x] or ()):
-                    continue
-                if given.get(parts, 0) >= most:
+                own, other = given.get(int(label[x]), 0), given.get(int(label[y]), 0)
+                if own >= most and other >= most:
                     yield (None, None)  # some are left for the next round
                     continue
-                given[parts] = given.get(parts, 0) + 1
+                given[int(label[x])], given[int(label[y])] = own + 1, other + 1
                 yield (int(min(node[x], node[y])), int(max(node[x], node[y])))
 
         def done(t: pa.Table) -> pa.RecordBatch:
             """All groups of a table of whole groups, sorted by group."""
             piece, p, q, *rest = (t.column(c).to_numpy() for c in names)
-            sk, tested = t.column("sketch").to_pylist(), t.column("tested").to_pylist()
+            sk = t.column("sketch").to_pylist()
             first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
             out: dict[tuple, None] = {}
             for s, e in zip(first.tolist(), np.r_[first[1:], len(piece)].tolist(), strict=True):
                 if e - s > 1:
-                    out.update(dict.fromkeys(solve(*[c[s:e] for c in rest], sk[s:e], tested[s:e], bool(p[s] != q[s]))))
+                    out.update(dict.fromkeys(solve(*[c[s:e] for c in rest], sk[s:e], bool(p[s] != q[s]))))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -415,7 +415,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * partitions(docs), size // 15_000_000 + 1)  # about 1.5 million pieces each
     both = shared_table(describe_and_meet(docs, shingle, percent, buckets), "pieces")
-    release(docs)
     described = both.where("piece is null").select("doc_id", "n_shingles", "node", "sketch")
     matches = both.where("piece is not null").select("piece", "node", "least")
     nodes = shared_table(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
@@ -424,21 +423,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     met = shared_table(met.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("node", "least"), "met")
     # first each node against the least nodes of its pieces; then all members of a piece, few pairs at a time
     more = shared_table(plausible(met.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, percent), "stars")
-    release(docs)
-    tested, links = more, shared_table(verify(more, docs, nodes, shingle, percent), "links")
-    labels, most, left = connected_components(links), 3, True
+    drop_tables(met)
+    tested, links = more, verify(more, docs, nodes, shingle, percent)
+    labels, most, left = connected_components(links), 1, True
     for turn in itertools.count():
         if turn and not more.isEmpty():
-            found = shared_table(verify(more, docs, nodes, shingle, percent), "links")
+            found = verify(more, docs, nodes, shingle, percent)
             tested, links = tested.unionByName(more), links.unionByName(found)
             if not found.isEmpty():
                 labels = connected_components(links)
         if not left:
             break
         rows = shared_table(mixed_pieces(matches, labels, nodes), "mixed")
-        release(docs)
-        cross = shared_table(cross_pairs(rows, tested, percent, most), "cross")
-        more, left, most = cross.where("a is not null"), not cross.where("a is null").isEmpty(), most * 16
+        cross = shared_table(cross_pairs(rows, percent, most), "cross")
+        drop_tables(rows)
+        more, left, most = shared_table(cross.where("a is not null").join(tested, ["a", "b"], "left_anti"), "untested"), not cross.where("a is null").isEmpty(), most * 16
     named = nodes.select("node", "doc_id").join(labels, "node").select("node", "label", "doc_id")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
     # nodes without links stand for their equal sets only
