@@ -20,6 +20,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +39,19 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = [*BASE, "contact", "number", "secret"]
-#: Candidate patterns of the further kinds.
+#: The same matches in linear time: a run of leading characters is taken whole, and counts if group 1 follows. What
+#: follows can't begin inside the run, so a run that fails at its start fails at every place in it.
+LINEAR = BASE | {
+    "email": re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?"),
+    "ip": re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?"),
+}
+#: Candidate patterns of the further kinds, taken in the same way; a secret also needs a digit and a letter.
 CANDIDATES = {
-    "contact": re.compile(r"[A-Za-z0-9._%+-]{2,}\s?(?:\(at\)|\[at\]|\{at\}|@)\s?[A-Za-z0-9-]{2,}(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,})*", re.I),
-    "secret": re.compile(r"(?=[A-Za-z_\-+/]*[0-9])(?=[0-9_\-+/]*[A-Za-z])[A-Za-z0-9_\-+/]{16,}={0,2}"),
-    "number": re.compile(r"\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}"),
+    "contact": re.compile(r"[A-Za-z0-9._%+-]{2,}+(\s?(?:\(at\)|\[at\]|\{at\}|@)\s?[A-Za-z0-9-]{2,}+(?:\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,}+)*+)?", re.I),
+    "secret": re.compile(r"([A-Za-z0-9_\-+/]{16,}+={0,2})"),
+    "number": re.compile(r"(\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}+)"),
 }
+MIXED = re.compile(r"[A-Za-z_\-+/]*+[0-9]"), re.compile(r"[0-9_\-+/]*+[A-Za-z]")
 #: Gazetteers.
 SECRET_WORDS = ("token", "key", "secret", "password", "passwd", "pwd", "bearer", "auth", "credential", "passwort", "clave", "contraseña", "mot de passe")
 CONTACT_WORDS = ("tel", "phone", "call", "mobile", "fax", "mail", "contact", "kontakt", "telefon", "teléfono", "téléphone", "correo", "courriel", "ssn", "passport", "iban", "account")
@@ -60,7 +68,7 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
     if kind == "email":
         return True
     digits = re.sub("[^0-9]", "", s)
@@ -69,7 +77,7 @@ def _valid(kind: str, s: str) -> bool:
 
 def base_spans(text: str, shift: int = 0) -> list[tuple[str, int, int]]:
     """Base spans of a text (or of one of its lines, at ``shift``), by kind, then start."""
-    return [(kind, shift + m.start(), shift + m.end()) for kind, p in BASE.items() for m in p.finditer(text) if _valid(kind, m.group())]
+    return [(kind, shift + m.start(), shift + m.end()) for kind, p in LINEAR.items() for m in p.finditer(text) if (not p.groups or m[1] is not None) and _valid(kind, m.group())]
 
 
 def votes(kind: str, s: str, before: str, after: str) -> list[int]:
@@ -111,13 +119,25 @@ def features(kind: str, s: str, before: str, after: str) -> list[float]:
 
 def candidates(line: str, taken: list[tuple[int, int]], shift: int = 0) -> list[tuple[str, int, int, list[int], list[float]]]:
     """Candidates of one line that touch none of the ``taken`` spans nor an earlier candidate."""
-    out, used = [], list(taken)
+    out: list = []
+    starts: list[int] = []  # of disjoint stretches that are taken, in order
+    ends: list[int] = []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, p in CANDIDATES.items():
         for m in p.finditer(line):
             s, e = m.span()
-            if any(a < shift + e and shift + s < b for a, b in used):
+            if m[1] is None or kind == "secret" and not all(x.match(m[1]) for x in MIXED):
+                continue
+            k = bisect_left(starts, shift + e)
+            if k and ends[k - 1] > shift + s:
                 continue
-            used.append((shift + s, shift + e))
+            starts.insert(k, shift + s)
+            ends.insert(k, shift + e)
             before, after = line[max(0, s - 40) : s], line[e : e + 10]
             out.append((kind, shift + s, shift + e, votes(kind, m.group(), before, after), [float(x) for x in features(kind, m.group(), before, after)]))
     return out

@@ -110,3 +110,45 @@ def test_long_shared_path_is_mined_as_one(spark):
     pages = spark.createDataFrame([(i, f"https://h.com/{deep('bad' if i % 2 else 'good')}") for i in range(40)], "page_id long, url string")
     rules = url_filters.mine_rules(pages, spark.createDataFrame([(i, i % 2 == 1) for i in range(40)], "page_id long, bad boolean"))
     assert [r[0] for r in rules] == [frozenset([f"p:bad{chr(97 + k)}"]) for k in range(26)] and {r[1:] for r in rules} == {(1.0, 0.5)}
+
+
+def test_spans_of_random_texts_equal_the_stated_patterns():
+    import random
+
+    rng = random.Random(1)
+    kinds = ["a1.@", "@.a-_b", "12.", "1 -+()2.", "+1 -", "x@y.z 1.1.1.1 "]
+    for _ in range(5_000):
+        text = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(40)))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for unit in ("a1", "7", "1.", "a.b-", "a@", "abc.def-", "+1 (", "a1@b.co "):
+        began = time.process_time()
+        pii.scan_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 10, unit
+
+
+def test_numbers_of_thousands_of_digits_are_no_ip():
+    assert pii.base_spans("1" * 5_000 + ".1.1.1") == []
+    assert pii.base_spans("0" * 5_000 + "1.1.1.1") == [("ip", 0, 5_007)]
+
+
+def test_query_joins_and_hashes_all_spans(spark, tmp_path):
+    from hashlib import sha256
+
+    from millrace.llm import queries
+
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(2, TEXTS[2]), (None, TEXTS[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_pii(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    for r in out:
+        base = brute(TEXTS[3 if r.doc_id is None else r.doc_id] or "")
+        assert r.base_sha256 == sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, *_ in base) for k in pii.BASE]
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert spans == sorted(spans, key=lambda x: (order[x[0]], int(x[1]))) and {(k, int(s), int(e)) for k, s, e in spans} >= set(base)
