@@ -117,18 +117,19 @@ class WordEncoder:
             group = [t or b"" for t in batch[i : i + 256]]
             whole = {k for k, t in enumerate(group) if any(s in t for s in self.special)}
             split = [[] if k in whole else t.translate(LOWER).split() for k, t in enumerate(group)]
-            new = set().union(*split).difference(self.cache) if split else set()
-            if new:
+            # the group's own ids: they stay, whatever the cache has room for
+            every = set().union(*split)
+            known = {w: self.cache[w] for w in every if w in self.cache}
+            if new := every.difference(known):
                 self._learn(new)
+                known |= {w: self.cache[w] for w in new}
+                if len(self.cache) > CACHE_WORDS:
+                    self.cache.clear()
             for k, words in enumerate(split):
                 if k in whole:
                     yield np.array(self.whole.encode(group[k].decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
                     continue
-                try:
-                    yield b"".join([self.cache[w] for w in words])
-                except KeyError:  # the cache was emptied for this group
-                    self._learn(set(words).difference(self.cache))
-                    yield b"".join([self.cache[w] for w in words])
+                yield b"".join([known[w] for w in words])
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
