@@ -122,7 +122,12 @@ def _digest(piece: bytes) -> int:
     return int.from_bytes(blake2b(piece, digest_size=8).digest(), "little", signed=True)
 
 
-FRAGMENT = "anchor long, f long, doc_id long, start int, n_win int, a_off int"
+FRAGMENT = "anchor long, f long, doc_id long, th long, start int, n_win int, a_off int"
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the text's hash th: with it, different texts that share an id stay apart."""
+    return only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
 
 
 def fragments(docs: DataFrame, tokens: Callable, length: int, gram: int) -> DataFrame:
@@ -132,24 +137,25 @@ def fragments(docs: DataFrame, tokens: Callable, length: int, gram: int) -> Data
         cache = WORDS
         for b in batches:
             ids = column(b, "doc_id").to_numpy(zero_copy_only=False)
-            parts, hashes, owner = [], [], []
-            for doc, t in zip(ids, texts(b), strict=True):
+            parts, hashes, owner, text = [], [], [], []
+            for doc, th, t in zip(ids, column(b, "th").to_numpy(), texts(b), strict=True):
                 x = tokens(cache, t or b"")
                 a, s, n, o = split_windows(x, length, gram)
                 if not len(s):
                     continue
                 parts.append((a, s, n, o))
                 owner.append(np.full(len(s), doc, np.int64))
+                text.append(np.full(len(s), th, np.int64))
                 raw, size = x.tobytes(), x.itemsize
                 hashes += [_digest(raw[size * i : size * j]) for i, j in zip(s.tolist(), (s + n + length - 1).tolist(), strict=True)]
             if parts:
                 a, s, n, o = (np.concatenate(c) for c in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(hashes, pa.int64()), pa.array(np.concatenate(owner)), *(pa.array(c.astype(np.int32)) for c in (s, n, o))],
-                    ["anchor", "f", "doc_id", "start", "n_win", "a_off"],
+                    [pa.array(a.view(np.int64)), pa.array(hashes, pa.int64()), pa.array(np.concatenate(owner)), pa.array(np.concatenate(text)), *(pa.array(c.astype(np.int32)) for c in (s, n, o))],
+                    ["anchor", "f", "doc_id", "th", "start", "n_win", "a_off"],
                 )
 
-    return only(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, FRAGMENT)
+    return named(docs).where("doc_id is not null").mapInArrow(run, FRAGMENT)
 
 
 def classify(frags: DataFrame) -> DataFrame:
@@ -163,25 +169,24 @@ def classify(frags: DataFrame) -> DataFrame:
 def fetch(asked: DataFrame, docs: DataFrame, tokens: Callable, length: int) -> DataFrame:
     """The asked fragments (columns of FRAGMENT and ``sure``) with ``piece``, their tokens as bytes.
 
-    One row per document on the asking side. A row whose text isn't what the fragment was cut from (an id
-    given twice with different texts) is left out.
+    One row per text on the asking side.
     """
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "f", "start", "n_win", "a_off", "sure")).alias("wanted"))
-    joined = only(docs, "doc_id", "text").join(wanted, "doc_id")
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "f", "start", "n_win", "a_off", "sure")).alias("wanted"))
+    joined = named(docs).join(wanted, ["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WORDS
         for b in batches:
-            for doc, t, w in zip(column(b, "doc_id").to_pylist(), texts(b), column(b, "wanted"), strict=True):
+            for doc, th, t, w in zip(column(b, "doc_id").to_pylist(), column(b, "th").to_pylist(), texts(b), column(b, "wanted"), strict=True):
                 x = tokens(cache, t or b"")
                 raw, size, rows = x.tobytes(), x.itemsize, []
                 for r in w.as_py():
                     piece = raw[size * r["start"] : size * (r["start"] + r["n_win"] + length - 1)]
                     if _digest(piece) == r["f"]:
-                        rows.append((r["anchor"], r["f"], doc, r["start"], r["n_win"], r["a_off"], r["sure"], piece))
+                        rows.append((r["anchor"], r["f"], doc, th, r["start"], r["n_win"], r["a_off"], r["sure"], piece))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "f", "doc_id", "start", "n_win", "a_off", "sure", "piece"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "f", "doc_id", "th", "start", "n_win", "a_off", "sure", "piece"])
 
     return joined.mapInArrow(run, FRAGMENT + ", sure boolean, piece binary")
 
@@ -197,9 +202,9 @@ def grouped(pieces: DataFrame, solve: Callable[[dict], tuple], flush: int = 30_0
         n = 0
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            c = {k: t.column(k).to_numpy() for k in ("anchor", "doc_id", "start", "n_win", "a_off", "sure")} | {"piece": t.column("piece").to_pylist()}
+            c = {k: t.column(k).to_numpy() for k in ("anchor", "doc_id", "th", "start", "n_win", "a_off", "sure")} | {"piece": t.column("piece").to_pylist()}
             row, lo, hi = solve(c)
-            return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][row]), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], ["doc_id", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][row]), pa.array(c["th"][row]), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], ["doc_id", "th", "s", "e"])
 
         for b in batches:
             held.append(b)
@@ -215,7 +220,7 @@ def grouped(pieces: DataFrame, solve: Callable[[dict], tuple], flush: int = 30_0
         if n:
             yield out(pa.Table.from_batches(held))
 
-    return pieces.sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, s long, e long")
+    return pieces.sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, th long, s long, e long")
 
 
 def by_window(pieces: DataFrame, dtype, length: int) -> DataFrame:
@@ -223,21 +228,21 @@ def by_window(pieces: DataFrame, dtype, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, start, sure, piece in zip(*[column(b, c).to_pylist() for c in ("doc_id", "start", "sure", "piece")], strict=True):
+            for doc, th, start, sure, piece in zip(*[column(b, c).to_pylist() for c in ("doc_id", "th", "start", "sure", "piece")], strict=True):
                 k1, k2 = window_keys(np.frombuffer(piece, dtype), length)
                 s = start + np.arange(len(k1), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(len(s), doc, np.int64)), pa.array(s), pa.array(s + length), pa.array(np.full(len(s), sure))],
-                    ["k1", "k2", "doc_id", "s", "e", "sure"],
+                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(len(s), doc, np.int64)), pa.array(np.full(len(s), th, np.int64)), pa.array(s), pa.array(s + length), pa.array(np.full(len(s), sure))],
+                    ["k1", "k2", "doc_id", "th", "s", "e", "sure"],
                 )
 
-    return pieces.mapInArrow(run, "k1 long, k2 long, doc_id long, s long, e long, sure boolean")
+    return pieces.mapInArrow(run, "k1 long, k2 long, doc_id long, th long, s long, e long, sure boolean")
 
 
 def spans_by_document(docs: DataFrame, covers: DataFrame) -> DataFrame:
     """doc_id, text and ``spans``: the merged-later (s, e) covers of the document, null if none."""
-    spans = covers.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return only(docs, "doc_id", "text").join(spans, "doc_id", "left")
+    spans = covers.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return named(docs).join(spans, ["doc_id", "th"], "left").drop("th")
 
 
 def merge_spans(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:

@@ -9,7 +9,8 @@ identity; the nodes of depth ``length`` are the deep internal nodes. A node's le
 the node's least one are removed; neighbouring removed windows merge into maximal repeats.
 
 Defined results: null text has no words; texts under ``length`` words are kept whole; a null doc_id
-matches nothing and is kept whole; rows that repeat an id and text get the same result each; an empty table
+matches nothing and is kept whole; rows that repeat an id and text get the same result each; different texts
+under one id are judged each by itself, and neither is the smaller document of the other; an empty table
 gives an empty result; extra columns are ignored. Words are compared by 64-bit hashes.
 """
 
@@ -64,16 +65,16 @@ def solve_trees(length: int):
 
 
 def find_repeats(docs: DataFrame, length: int = 50, max_group: int = 20_000) -> DataFrame:
-    """doc_id, s, e: runs of words covered by windows that start in a smaller document too (they may overlap)."""
+    """doc_id, th (hash of the text), s, e: runs of words covered by windows that start in a smaller document too (they may overlap)."""
     frags = shared_table(repeats.fragments(docs, repeats.word_tokens, length, GRAM), "word-fragments")
     placed = shared_table(repeats.classify(frags), "word-repeats")
-    whole = placed.where("doc_id > min_doc").select("doc_id", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n_win") + (length - 1)).cast("long").alias("e"))
+    whole = placed.where("doc_id > min_doc").select("doc_id", "th", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n_win") + (length - 1)).cast("long").alias("e"))
     asked = placed.where("n_classes > 1 and doc_id = min_doc").withColumn("sure", F.lit(False))
     pieces = shared_table(repeats.fetch(asked, docs, repeats.word_tokens, length).join(asked.select("anchor", (F.col("n_classes") > max_group).alias("big")).distinct(), "anchor"), "word-pieces")
     small = repeats.grouped(pieces.where("not big").repartition("anchor"), solve_trees(length))
     windows = repeats.by_window(pieces.where("big"), np.uint64, length)
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    big = windows.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id", "s", "e")
+    big = windows.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id", "th", "s", "e")
     return whole.unionByName(small).unionByName(big)
 
 

@@ -11,7 +11,8 @@ prefix of ``length`` - o bytes after the anchor and of o bytes before it. Groups
 different fragments are keyed window by window.
 
 Defined results: null text is empty; texts under ``length`` bytes are kept; a null doc_id matches nothing
-and is kept whole; rows that repeat an id and text count as places elsewhere; an empty table gives an empty
+and is kept whole; rows that repeat an id and text count as places elsewhere; different
+texts under one id are judged each by itself; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -96,10 +97,10 @@ def solve_arrays(length: int):
 
 
 def find_repeats(docs: DataFrame, length: int = 200, max_group: int = 20_000) -> DataFrame:
-    """doc_id, s, e: runs of bytes covered by strings that start elsewhere too (they may overlap)."""
+    """doc_id, th (hash of the text), s, e: runs of bytes covered by strings that start elsewhere too (they may overlap)."""
     frags = shared_table(repeats.fragments(docs, repeats.byte_tokens, length, GRAM), "byte-fragments")
     placed = shared_table(repeats.classify(frags), "byte-repeats")
-    whole = placed.where("n > 1").select("doc_id", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n_win") + (length - 1)).cast("long").alias("e"))
+    whole = placed.where("n > 1").select("doc_id", "th", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n_win") + (length - 1)).cast("long").alias("e"))
     asked = placed.where("n_classes > 1 and doc_id = min_doc").withColumn("sure", F.col("n") > 1)
     pieces = shared_table(repeats.fetch(asked, docs, repeats.byte_tokens, length).join(asked.select("anchor", (F.col("n_classes") > max_group).alias("big")).distinct(), "anchor"), "byte-pieces")
     leading = F.expr(f"substring(piece, a_off + 1, {GRAM})")
@@ -107,7 +108,7 @@ def find_repeats(docs: DataFrame, length: int = 200, max_group: int = 20_000) ->
     small = repeats.grouped(buckets, solve_arrays(length))
     windows = repeats.by_window(pieces.where("big"), np.uint8, length)
     counts = windows.groupBy("k1", "k2").agg(F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("times"))
-    big = windows.where("not sure").join(counts, ["k1", "k2"]).where("times > 1").select("doc_id", "s", "e")
+    big = windows.where("not sure").join(counts, ["k1", "k2"]).where("times > 1").select("doc_id", "th", "s", "e")
     return whole.unionByName(small).unionByName(big)
 
 

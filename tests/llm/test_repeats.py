@@ -110,3 +110,13 @@ def test_long_text_and_whole_table_counts(spark):
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == {1: 0, 2: 30_000}
     assert suffix_dedup.remove_repeats(docs).agg(F.sum("n_spans")).first()[0] == 2
+
+
+def test_different_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(1, a, 0, ""), (2, a, 0, ""), (2, b, 0, ""), (2, b + " " + a, 0, "")], SCHEMA)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(1, 100, 0), (2, 100, 0), (2, 100, 100), (2, 200, 100)]
+    docs = spark.createDataFrame([(1, a, 0, ""), (2, a, 0, ""), (2, b, 0, "")], SCHEMA)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted([(1, len(a), len(a)), (2, len(b), 0), (2, len(a), len(a))])
