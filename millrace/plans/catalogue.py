@@ -215,7 +215,7 @@ add("udf_map", "SELECT p_partkey, round(CASE WHEN p_size > 25 THEN p_retailprice
     N.Project(N.MapUdf(PART, (("V", "double"),), ("if(#PART.P_SIZE#>25){", "#<OUT>.V#=#PART.P_RETAILPRICE#*2;", "}else{", "#<OUT>.V#=sqrt(#PART.P_RETAILPRICE#);", "}")), ((A("P_PARTKEY"), None), (A("V"), None))))
 add("udf_map_euclid", "SELECT p_partkey, round(sqrt(power(p_retailprice - p_size, 2) + power(p_size - p_partkey, 2)), 2) AS dist FROM part",
     N.Project(N.MapUdf(PART, (("DIST", "double"),), ("#<OUT>.DIST#=sqrt(pow(#PART.P_RETAILPRICE#-#PART.P_SIZE#,2)+pow(#PART.P_SIZE#-#PART.P_PARTKEY#,2));",)), ((A("P_PARTKEY"), None), (A("DIST"), None))))
-_ARGMIN = N.ReduceUdf((("min_value", "double", 4000000000.0), ("id", "OID", 0)), (("CID", "OID"),), ("if(#<hash_entry>.min_value#>#CUSTOMER.C_ACCTBAL#){", "#<hash_entry>.min_value#=#CUSTOMER.C_ACCTBAL#;", "#<hash_entry>.id#=#CUSTOMER.C_CUSTKEY#;", "}"), ("#<out>.CID#=#<hash_entry>.id#;",))
+_ARGMIN = N.ReduceUdf((("who", "OID", 0), ("poorest", "double", float("inf"))), (("CID", "OID"),), ("if(#<hash_entry>.poorest#>#CUSTOMER.C_ACCTBAL#){", "#<hash_entry>.who#=#CUSTOMER.C_CUSTKEY#;", "#<hash_entry>.poorest#=#CUSTOMER.C_ACCTBAL#;", "}"), ("#<out>.CID#=#<hash_entry>.who#;",))
 add("udf_reduce", "SELECT c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) AS cid FROM customer GROUP BY c_nationkey", N.GroupBy(CUSTOMER, (A("C_NATIONKEY"),), (N.Aggregate("UDF", None, "UDF", udf=_ARGMIN),)))
 _SQUARES = N.ReduceUdf((("total", "double", 0.0), ("n", "double", 0.0)), (("RMS", "double"),), ("#<hash_entry>.total#=#<hash_entry>.total#+#PART.P_SIZE#*#PART.P_SIZE#;", "#<hash_entry>.n#=#<hash_entry>.n#+1;"), ("#<out>.RMS#=sqrt(#<hash_entry>.total#/#<hash_entry>.n#);",))
 add("udf_reduce_fold", "SELECT p_brand, round(sqrt(sum(p_size * p_size) / count(*)), 2) AS rms FROM part GROUP BY p_brand", N.GroupBy(PART, (A("P_BRAND"),), (N.Aggregate("UDF", None, "UDF", udf=_SQUARES),)))
@@ -271,7 +271,7 @@ add("self_csv", "SELECT p_partkey, p_name, p_brand, p_type, p_size, floor(p_reta
 add("store_rename_table", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2", _stored)
 add("insert_values", "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'cat', CAST(4.5 AS DOUBLE), '2020-01-31'), (2, 'dog', -1, '2021-02-01')) t(id, name, weight, born)", _inserted)
 add("system_schema", "SELECT 'REGION' AS table_name, upper(name) AS column_name, CASE type WHEN 'INTEGER' THEN 'INT' ELSE 'VARCHAR' END AS attribute_type FROM pragma_table_info('region')", "select table_name, column_name, attribute_type from sys_database_schema where table_name = 'REGION'")
-add("constraints", None, "select table_name, column_name, kind from sys_integrity_constraints")
+add("constraints", "SELECT * FROM (VALUES ('REGION', 'R_REGIONKEY', 'PRIMARY KEY'), ('NATION', 'N_NATIONKEY', 'PRIMARY KEY'), ('CUSTOMER', 'C_CUSTKEY', 'PRIMARY KEY'), ('SUPPLIER', 'S_SUPPKEY', 'PRIMARY KEY'), ('PART', 'P_PARTKEY', 'PRIMARY KEY'), ('ORDERS', 'O_ORDERKEY', 'PRIMARY KEY')) t(table_name, column_name, kind)", "select table_name, column_name, kind from sys_integrity_constraints")
 
 # star schema queries
 

@@ -107,7 +107,7 @@ class Engine:
         if isinstance(p, N.AnyOf):
             return reduce(Column.__or__, [self.predicate(f, x) for x in p.parts]) if p.parts else F.lit(True)
         if isinstance(p, N.Matches):
-            hit = self.expr(f, p.attr).rlike(f"^(?:{p.pattern})$")
+            hit = self.expr(f, p.attr).rlike(rf"\A(?s:{p.pattern})\z")
             return ~hit if p.negated else hit
         if isinstance(p, N.Compare):
             left, right = p.left, p.right
