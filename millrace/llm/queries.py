@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_classifier, rules, substring_dedup, suffix_dedup, url_filters
-from millrace.llm.common import read
+from millrace.llm.common import only, read
 
 #: Tokens of a packed sequence, and the id that ends a document.
 SEQUENCE, END_ID = 2048, 1
@@ -62,23 +62,19 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The stated URL rules (verdict, host and path).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Host words that mark a URL as bad where no label does.
-URL_SEEDS = ["casino", "bets", "spam", "pills", "viagra", "porn", "xxx", "malware", "phish", "warez", "torrent"]
+#: Words of a page's text that mark the page as bad.
+SPAM_WORDS = ["casino", "bets", "spam", "pills", "viagra", "porn", "xxx", "malware", "phish", "warez", "torrent"]
 
 
-def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, bad: pages labelled by id (quality 0 is bad), and pages whose host has a seed word."""
-    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
-    seeded = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)).rlike("(^|[.-])(" + "|".join(URL_SEEDS) + ")([.-]|$)")
-    return (
-        pages.select("page_id", seeded.alias("seeded")).join(labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality")), "page_id", "left")
-        .where("seeded or quality is not null").select("page_id", (F.col("seeded") | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
-    )
+def url_labels(pages: DataFrame) -> DataFrame:
+    """page_id, bad: whether the page's text outside tags has a spam word. The URL is not looked at; pages without html have no label."""
+    shown = F.regexp_replace("html", "<[^<>]*>", " ")
+    return only(pages, "page_id", "html").where("html is not null").select("page_id", shown.rlike(r"(?i)\b(" + "|".join(SPAM_WORDS) + r")\b").alias("bad"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    mined = [r[0] for r in url_filters.mine_rules(pages, url_labels(spark, sf_dir))]
+    mined = [r[0] for r in url_filters.mine_rules(pages, url_labels(pages), closed=True)]
     return url_filters.judge(pages, URL_RULES, mined)
 
 

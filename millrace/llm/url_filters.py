@@ -4,7 +4,9 @@ A URL's tokens are its host labels (and their hyphenated parts), its leading dom
 query keys and its query values; ``#`` stands for each number in segments and values. Labelled URLs become transactions of
 their tokens plus a class item; Spark's FP-growth mines frequent token combinations, and rules ``tokens -> bad`` of any
 length are kept by support and confidence; a rule that contains a kept, shorter one is redundant and dropped. Tokens that
-occur in exactly the same labelled URLs (the segments of one deep path) are mined as one and put back in the rules. The kept rules sit in an
+occur in exactly the same labelled URLs (the segments of one deep path) are mined as one and put back in the rules: each for
+itself, or with ``closed`` all together, so that a rule claims no more than its labels show (a word that only one bad host
+has been seen with blocks no other host). The kept rules sit in an
 inverted index under their rarest token, so a URL is only compared with rules one of its tokens leads to.
 
 Defined results: null or a URL without ``://`` has empty host and path; ties between stated rules of equal
@@ -85,9 +87,10 @@ def _same_urls(marked: DataFrame, least: int) -> list[list[str]]:
     return [sorted(g) for g in found.values()]
 
 
-def mine_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, min_count: int = 5) -> list[tuple[frozenset[str], float, float]]:
+def mine_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, min_count: int = 5, closed: bool = False) -> list[tuple[frozenset[str], float, float]]:
     """(tokens, confidence, support) of the kept rules. ``labels``: page_id, bad (boolean). A rule must hold for
-    ``min_support`` of the labelled URLs and for ``min_count`` of them.
+    ``min_support`` of the labelled URLs and for ``min_count`` of them. ``closed``: tokens of exactly the same labelled
+    URLs stand in a rule together.
 
     The frequent tokens that come to the driver are at most a URL's tokens / min_support, so they are bounded
     by the thresholds, not by the input.
@@ -111,6 +114,8 @@ def mine_rules(urls: DataFrame, labels: DataFrame, min_support: float = 0.001, m
     for tokens, confidence, support in sorted(((frozenset(r[0]), r[1], r[2]) for r in rows), key=order):
         if not any(k[0] <= tokens for k in kept):
             kept.append((tokens, confidence, support))
+    if closed:
+        return sorted(((frozenset(t for x in k for t in same.get(x, [x])), c, s) for k, c, s in kept), key=order)
     return sorted(((frozenset(t), c, s) for k, c, s in kept for t in itertools.product(*[same.get(x, [x]) for x in k])), key=order)
 
 

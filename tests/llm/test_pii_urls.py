@@ -152,3 +152,32 @@ def test_query_joins_and_hashes_all_spans(spark, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, *_ in base) for k in pii.BASE]
         spans = [x.split(":") for x in r.spans.split(",") if x]
         assert spans == sorted(spans, key=lambda x: (order[x[0]], int(x[1]))) and {(k, int(s), int(e)) for k, s, e in spans} >= set(base)
+
+
+def test_labels_come_from_the_text_and_not_from_the_url(spark):
+    from millrace.llm import queries
+
+    rows = [(1, "http://casino.com/", "<p>Herbs</p>"), (2, "http://a.com/", "<b>Online CASINO</b>"), (3, "http://b.com/", '<a href="http://casino.com">x</a>'), (4, "http://c.com/", None), (5, None, ""), (6, "http://d.com/", "casinos " * 100_000), (2, "http://a.com/", "<"), (None, None, "xxx")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.page_id, r.bad) for r in queries.url_labels(pages).collect()} == {(1, False), (2, True), (3, False), (5, False), (6, False), (2, False), (None, True)}
+    assert queries.url_labels(pages.limit(0)).count() == 0
+
+
+def test_closed_rules_block_held_out_pages_and_no_other_hosts(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import queries
+    from millrace.llm.common import read
+
+    pages = read(spark, "/root/testdata/sf0.1", "pages")
+    labels = queries.url_labels(pages)
+    half = F.pmod(F.xxhash64("page_id"), F.lit(2))
+    mined = [r[0] for r in url_filters.mine_rules(pages, labels.where(half == 0), closed=True)]
+    assert mined and min(map(len, mined)) > 1
+    judged = url_filters.judge(pages, [], mined).join(labels, "page_id").where(half == 1).groupBy("verdict", "bad").count().collect()
+    n = {(r.verdict, r.bad): r["count"] for r in judged}
+    hit, false, missed = (n.get(k, 0) for k in (("block", True), ("block", False), ("allow", True)))
+    print("held-out", hit, false, missed)
+    assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + false)
+    others = spark.createDataFrame([(1, "http://tax-free-tips.example.info/"), (2, "https://win-win-negotiation.info/en/1"), (3, "http://farm.example.com/")], "page_id long, url string")
+    assert url_filters.judge(others, [], mined).where("verdict = 'block'").isEmpty()
