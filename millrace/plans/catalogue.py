@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.kmeans import assign
+from millrace.operators.kmeans import assign, kmeans
 from millrace.plans import nodes as N
 from millrace.session import Session
 from millrace.sources.pipe_csv import read_self_describing, write_pipe_csv, write_self_describing
@@ -322,6 +322,17 @@ for _n, _k, _w in (
     _ssb(_n, _k, "sum(lo_revenue-lo_supplycost)", _DWIDE, _w, _k)
 add("ssb_semi_join", f"{_STAR} SELECT count(*) AS n FROM lineorder WHERE lo_suppkey IN (SELECT ss_suppkey FROM s_supplier WHERE ss_region = 'ASIA')", N.GroupBy(N.Join(N.Scan("lineorder"), N.Filter(N.Scan("s_supplier"), N.Compare(A("SS_REGION"), "=", C("ASIA"))), "left_semi", N.Compare(A("LO_SUPPKEY"), "=", A("SS_SUPPKEY"))), (), (N.Aggregate("COUNT", None, "N"),)), views=True)
 
+add("ssb_select_only", f"{_STAR} SELECT lo_orderkey, lo_custkey, lo_partkey, lo_suppkey, CAST(lo_orderdate AS VARCHAR) AS lo_orderdate, round(lo_quantity, 2) AS lo_quantity, round(lo_extendedprice, 2) AS lo_extendedprice, round(lo_discount, 2) AS lo_discount, round(lo_revenue, 2) AS lo_revenue, round(lo_supplycost, 2) AS lo_supplycost FROM lineorder WHERE lo_discount BETWEEN 0.04 AND 0.06 AND lo_quantity BETWEEN 26 AND 35",
+    "select * from lineorder where lo_discount between 0.04 and 0.06 and lo_quantity between 26 and 35", views=True)
+
+# single operators: few and many groups, medium and high selectivity
+
+for _n, _k in {"few": "l_returnflag", "many": "l_partkey"}.items():
+    add(f"micro_{_n}_groups", f"SELECT {_k}, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY {_k}", f"select {_k}, sum(l_quantity) as v from lineitem group by {_k}")
+for _n, _w in {"medium": "l_quantity < 25", "high": "l_quantity < 25 and l_discount <= 0.03 and l_discount >= 0.01 and l_extendedprice > 40000"}.items():
+    _picked = ("l_quantity", "l_discount", "l_extendedprice")
+    add(f"micro_{_n}_selectivity", f"SELECT {', '.join(f'round({c}, 2) AS {c}' for c in _picked)} FROM lineitem WHERE {_w}", f"select {', '.join(_picked)} from lineitem where {_w}")
+
 # decision support queries
 
 _DISC = "l_extendedprice * (1 - l_discount)"
@@ -496,3 +507,28 @@ _CENTROIDS = [(100.0, 5.0), (400.0, 25.0), (700.0, 30.0), (900.0, 45.0)]
 add("kmeans_step", "SELECT CAST(cid AS BIGINT) AS cid, count(*) AS n, round(avg(p_retailprice), 2) AS c0, round(avg(p_size), 2) AS c1 FROM (SELECT p_retailprice, p_size, (SELECT arg_min(k, (sqrt(power(p_retailprice - x, 2) + power(p_size - y, 2)), k)) FROM (VALUES "
     + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(_CENTROIDS)) + ") c(k, x, y)) AS cid FROM part) GROUP BY cid",
     lambda s: assign(s.catalog.table("part").df, _CENTROIDS, ["P_RETAILPRICE", "P_SIZE"]).groupBy("CID").agg(F.count("*").alias("N"), F.avg("P_RETAILPRICE").alias("C0"), F.avg("P_SIZE").alias("C1")))
+
+
+# k-means: rounds until no centroid moves, or as many as the SQL writes out
+
+_ROUNDS = 12
+_STARTS = [(920.0, 5.0), (930.0, 40.0), (970.0, 10.0), (980.0, 45.0)]
+
+
+def _kmeans_sql() -> str:
+    sql = "WITH c0(k, x, y) AS (VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(_STARTS)) + ")"
+    for r in range(_ROUNDS):
+        near = f"(SELECT arg_min(k, (sqrt(power(p_retailprice - x, 2) + power(p_size - y, 2)), k)) FROM c{r})"
+        sql += (
+            f",\nm{r} AS MATERIALIZED (SELECT cid, avg(p_retailprice) AS x, avg(p_size) AS y FROM (SELECT p_retailprice, p_size, {near} AS cid FROM part) GROUP BY cid)"
+            f",\nc{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{r} c LEFT JOIN m{r} m ON m.cid = c.k)"
+        )
+    return f"{sql}\nSELECT CAST(k AS BIGINT) AS cid, round(x, 2) AS c0, round(y, 2) AS c1 FROM c{_ROUNDS}"
+
+
+def _kmeans(s: Session) -> DataFrame:
+    centroids = kmeans(s.catalog.table("part").df, _STARTS, ["P_RETAILPRICE", "P_SIZE"], _ROUNDS, 0.0)
+    return s.catalog.spark.createDataFrame([(k, *c) for k, c in enumerate(centroids)], "CID long, C0 double, C1 double")
+
+
+add("kmeans", _kmeans_sql(), _kmeans)
