@@ -50,6 +50,9 @@ PIECES = 0.38
 BLOCK = 1_000_000
 #: Members of a piece that are compared as one block.
 SIDE = 2_000
+#: A node's least pieces that go with each of its rows. Sets near the bound share some two fifths of their pieces, so that the first
+#: one they share is nearly always among these; if it isn't, the pair is given more than once, but never lost.
+FIRST = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -299,7 +302,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_pieces(matches: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of pieces with untested pairs of nodes in different components: label, size, sketch, number of blocks.
+    """The rows of pieces with untested pairs of nodes in different components: label, size, sketch, number of blocks, and
+    the node's least pieces among these rows.
 
     Pairs with a piece's least node are tested already, so that node is left out (unless blocks of documents
     named different least nodes for one piece), and with it all pieces of two nodes.
@@ -309,7 +313,9 @@ def mixed_pieces(matches: DataFrame, labels: DataFrame, nodes: DataFrame) -> Dat
     per_piece = placed.groupBy("piece").agg(F.min("least").alias("l1"), F.max("least").alias("l2"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(other).alias("lo2"), F.max(other).alias("hi2"), F.count("*").alias("members"))
     mixed = per_piece.where("(l1 = l2 and lo2 < hi2) or (l1 < l2 and lo < hi)").select("piece", "l1", "l2", F.expr(f"cast(ceil(members / {SIDE}) as int)").alias("blocks"))
     rows = placed.join(mixed, "piece").where("l1 < l2 or node <> least").select("piece", "node", "label", "blocks").distinct()
-    return rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = shared_table(rows, "mixed-pieces")
+    firsts = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("piece")), 1, FIRST).alias("firsts"))  # bounded by the pieces of one text
+    return rows.join(nodes.select("node", "n_shingles", "sketch").join(firsts, "node"), "node")
 
 
 def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
@@ -317,11 +323,12 @@ def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
 
     Under one piece, each component gives the ``most`` pairs nearest in sketches to any others: links merge at
     least half of what can be linked, so further pairs are only needed in later rounds; a pair of nulls says that some were
-    left. What comes out grows with the members of pieces, not with their pairs. A piece of over SIDE members is
-    dealt into blocks; each pair of blocks is compared by itself.
+    left. A pair is given under the least piece it shares only: under another one it is passed over if the ``firsts`` of both
+    nodes have a lesser piece in common, where the two meet as well. A piece of over SIDE members is dealt into
+    blocks; each pair of blocks is compared by itself.
     """
     i = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch")
+    dealt = rows.withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")}).select("piece", "p", "q", "i", "node", "label", "n_shingles", "sketch", "firsts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("piece", "p", "q", "i", "node", "label", "n_shingles")
@@ -346,12 +353,12 @@ def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
                         known[key] = far / (m + k)
             return known[key]
 
-        def solve(block: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sk: list[bytes], apart: bool) -> Iterator[tuple]:
+        def solve(block: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, sk: list[bytes], lesser: list[set[int]], apart: bool) -> Iterator[tuple]:
             found = []
             if len(node) <= 4:
                 for x in range(len(node)):
                     for y in range(x + 1, len(node)):
-                        if label[x] != label[y] and (not apart or block[x] != block[y]) and (d := pair_distance(x, y, sk, n, node)) is not None:
+                        if label[x] != label[y] and (not apart or block[x] != block[y]) and lesser[x].isdisjoint(lesser[y]) and (d := pair_distance(x, y, sk, n, node)) is not None:
                             found.append((d, x, y))
             else:
                 sizes = np.array([len(x) for x in sk])
@@ -375,7 +382,8 @@ def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
                                 far = np.bitwise_count(bits[z][k + r].view(np.uint64) ^ folded[c].view(np.uint64)).sum(1, dtype=np.int64)
                                 total = n[at[r]] + n[large[c]]
                                 near = far * (100 + percent) <= (100 - percent) * total
-                                found += zip((far[near] / total[near]).tolist(), at[r[near]].tolist(), large[c[near]].tolist(), strict=True)
+                                close = zip((far[near] / total[near]).tolist(), at[r[near]].tolist(), large[c[near]].tolist(), strict=True)
+                                found += [f for f in close if lesser[f[1]].isdisjoint(lesser[f[2]])]
             given: dict[int, int] = {}
             for _, x, y in sorted(found):
                 own, other = given.get(int(label[x]), 0), given.get(int(label[y]), 0)
@@ -388,12 +396,13 @@ def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
         def done(t: pa.Table) -> pa.RecordBatch:
             """All groups of a table of whole groups, sorted by group."""
             piece, p, q, *rest = (t.column(c).to_numpy() for c in names)
-            sk = t.column("sketch").to_pylist()
+            sk, firsts = t.column("sketch").to_pylist(), t.column("firsts").to_pylist()
             first = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
             out: dict[tuple, None] = {}
             for s, e in zip(first.tolist(), np.r_[first[1:], len(piece)].tolist(), strict=True):
                 if e - s > 1:
-                    out.update(dict.fromkeys(solve(*[c[s:e] for c in rest], sk[s:e], bool(p[s] != q[s]))))
+                    lesser = [{x for x in f if x < piece[s]} for f in firsts[s:e]]
+                    out.update(dict.fromkeys(solve(*[c[s:e] for c in rest], sk[s:e], lesser, bool(p[s] != q[s]))))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []

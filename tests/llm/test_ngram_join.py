@@ -104,3 +104,27 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(39)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in connected_components(links).collect()}
     assert got == dict.fromkeys(range(40), 0) | {100: 100, 101: 100}
+
+
+def test_a_pair_is_given_under_one_of_its_pieces(spark):
+    """Three near sets in different components share hundreds of pieces, which lie in all tasks."""
+    sketch = ngram_join.parity_sketch(np.arange(1000, dtype=np.uint64))
+
+    def pairs(members):
+        rows = [(p, 10 * n, 10 * n, 1, 1000, sketch, list(pieces)[:16]) for n, pieces in members for p in pieces]
+        return ngram_join.cross_pairs(spark.createDataFrame(rows, "piece long, node long, label long, blocks int, n_shingles long, sketch binary, firsts array<long>"), 75, 16)
+
+    def given(node):  # rows that came out of the comparison itself
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return given(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return given(node.plan())
+        if node.nodeName() == "MapInArrow":
+            return node.metrics().apply("pythonNumRowsReceived").value()
+        return sum(given(node.children().apply(k)) for k in range(node.children().size()))
+
+    got = pairs([(1, range(400)), (2, range(400)), (3, range(0, 400, 2))])
+    assert sorted(tuple(r) for r in got.collect()) == [(10, 20), (10, 30), (20, 30)]
+    assert given(got._jdf.queryExecution().executedPlan()) == 3
+    # sets that share none of their first pieces are given all the same
+    assert sorted(tuple(r) for r in pairs([(1, range(400)), (2, range(300, 700))]).collect()) == [(10, 20)]
