@@ -36,6 +36,8 @@ MARKS = bytes(32 if chr(c).isalnum() and c < 128 or c >= 128 else c for c in ran
 UPPER, LOWERS, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 #: One-hot slots of hashed language and source; layout statistics follow.
 LANGS, SOURCES, LAYOUT = 32, 256, 12
+#: Rows whose elements are worked on at once in fitting.
+BLOCK = 500
 
 
 class Buckets(dict):
@@ -98,23 +100,31 @@ class TextModel:
 def fit_text(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float = 2e-4, rounds: int = 120, min_rows: int = 3) -> TextModel:
     """Sparse logistic regression by full-batch AdaGrad; buckets in fewer than ``min_rows`` rows have no weight."""
     size = 1 << BITS
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    known = np.bincount(flat, minlength=size) >= min_rows
-    used = np.flatnonzero(known)
-    place = np.full(size, -1, np.int64)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    seen = np.zeros(size, np.int64)
+    for r in rows:
+        seen[r] += 1  # distinct in a row
+    used = np.flatnonzero(seen >= min_rows)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(rows)), sizes)
-    keep = known[flat]
-    col, row = place[flat[keep]], row[keep]
+    # rows in blocks: only the places of all elements are held at once, as 32-bit numbers
+    blocks = []
+    for k in range(0, len(rows), BLOCK):
+        flat = place[np.concatenate(rows[k : k + BLOCK])]
+        known = flat >= 0
+        row = np.repeat(np.arange(len(rows[k : k + BLOCK]), dtype=np.int32), sizes[k : k + BLOCK])
+        blocks.append((k, flat[known], row[known]))
     w, b = np.zeros(len(used)), 0.0
     g2, gb2 = np.full(len(used), 1e-8), 1e-8
     total = weight.sum()
     for _ in range(rounds):
-        z = np.bincount(row, weights=w[col], minlength=len(rows)) + b
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        g = np.bincount(col, weights=e[row], minlength=len(used)) + l2 * w
-        gb = e.sum()
+        g, gb = l2 * w, 0.0
+        for k, col, row in blocks:
+            n = len(rows[k : k + BLOCK])
+            z = np.bincount(row, weights=w[col], minlength=n) + b
+            e = weight[k : k + n] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[k : k + n]) / total
+            g += np.bincount(col, weights=e[row], minlength=len(used))
+            gb += e.sum()
         g2 += g * g
         gb2 += gb * gb
         w -= 0.5 * g / np.sqrt(g2)
@@ -222,13 +232,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_pool:
     free = ids.join(marked.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*by_hash).limit(max_pool)
     chosen = sample.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
     base = only(docs, "doc_id", "text", *_META).join(F.broadcast(chosen), "doc_id")
-    rows = views(base.select("text", *_META, F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.hash("doc_id").alias("place")), ["quality", "toxic", "place"]).toPandas()
-    if not len(rows):
+    rows = views(base.select("text", *_META, F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.hash("doc_id").alias("place")), ["quality", "toxic", "place"]).toArrow()
+    if not rows.num_rows:
         return dict.fromkeys(TARGETS)
-    rows = rows.sort_values(["place", "quality", "toxic"], kind="stable")
-    buckets = [np.asarray(x, np.int32) for x in rows["buckets"]]
-    slots, layout = np.array(rows["slots"].tolist()), np.array(rows["layout"].tolist())
-    return {t: co_train(buckets, slots, layout, rows[t].to_numpy(), rounds) for t in TARGETS}
+    y = {c: rows.column(c).to_numpy() for c in ("place", "quality", "toxic")}
+    order = np.lexsort((y["toxic"], y["quality"], y["place"]))  # stable
+    flat = lambda c, width: rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+    slots, layout = flat("slots", 2), flat("layout", LAYOUT)
+    lists = rows.column("buckets").combine_chunks()
+    del rows
+    at, every = lists.offsets.to_numpy(), lists.values.to_numpy()
+    buckets = [every[at[i] : at[i + 1]] for i in order.tolist()]  # views: the elements are held once
+    return {t: co_train(buckets, slots, layout, y[t][order], rounds) for t in TARGETS}
 
 
 def score(docs: DataFrame, models: dict[str, CoTrained | None], threshold: float = 0.5) -> DataFrame:

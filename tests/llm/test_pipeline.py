@@ -221,3 +221,17 @@ def test_labels_of_absent_documents_leave_the_bound_alone(spark):
     assert alone["quality"] and among["quality"]
     got = [sorted(map(tuple, quality_classifier.score(docs, m).collect())) for m in (alone, among)]
     assert got[0] == got[1]
+
+
+def test_fitting_the_text_view_holds_few_copies_of_the_elements():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40_000, 1000)).astype(np.int32) for _ in range(2000)]
+    y = np.array([float((r < 400).sum() > 10) for r in rows])
+    tracemalloc.start()
+    model = quality_classifier.fit_text(rows, y, np.ones(len(rows)), rounds=20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * sum(map(len, rows))  # 40 MB; with temporary arrays over all elements it took 61 MB
+    assert np.mean([(model.logit(r) > 0) == v for r, v in zip(rows, y, strict=True)]) > 0.9
