@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, column, only, shared_table, texts
 
-#: Entries of a worker's word cache; a full cache is emptied. It bounds memory, results don't depend on it.
+#: Entries of a worker's word cache; one that holds more is given up after its group of texts. It bounds memory, results don't depend on it.
 CACHE_WORDS = 1_000_000
 #: Put between the words that are learnt together; words that hold it are encoded alone.
 MARK = "\x01"
@@ -58,6 +59,9 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
         self.dtype = dtype
+        every = np.arange(max(self.whole.get_vocab().values()) + 1, dtype=dtype)
+        #: The bytes of each id.
+        self.bytes_of = [x.tobytes() for x in every]
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
@@ -67,10 +71,12 @@ class WordEncoder:
         tail of marks after a letter is a piece of its own. All others go through the whole tokenizer, in strings
         of 500, a mark after each, and the ids are cut at the mark's id.
         """
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        cache, model, other = self.cache, self.tokenizer.model, []
+        cache, tokenize, bytes_of, other = self.cache, self.tokenizer.model.tokenize, self.bytes_of, {}
         for w in words:
+            if w.isalpha():  # no marks; it may be the core of an earlier one
+                if w not in cache:
+                    cache[w] = b"".join([bytes_of[x.id] for x in tokenize(w.decode())])
+                continue
             m = TAILED.fullmatch(w)
             core, tail = (m[1], m[2]) if m else (w, b"")
             ids = cache.get(core)
@@ -78,16 +84,15 @@ class WordEncoder:
                 s = core.decode("utf-8", "replace")
                 if core.isalpha() or (s.isalpha() and max(s) < "\u0250" and s == s.lower() and unicodedata.is_normalized("NFC", s)):
                     plain = s if core.isalpha() else "".join([BYTE_CHARS[c] for c in core])
-                    ids = cache[core] = np.array([x.id for x in model.tokenize(plain)], self.dtype).tobytes()
+                    ids = cache[core] = b"".join([bytes_of[x.id] for x in tokenize(plain)])
             if ids is None or tail and tail not in cache:
-                other += [x for x in (core, tail) if x and x not in cache]
+                other[w] = core, tail
             elif tail:
                 cache[w] = ids + cache[tail]
-        self._learn_whole(list(dict.fromkeys(other)))
-        for w in words:
-            if w not in cache:
-                m = TAILED.fullmatch(w)
-                cache[w] = cache[m[1]] + cache[m[2]]
+        self._learn_whole([x for x in dict.fromkeys(chain.from_iterable(other.values())) if x and x not in cache])
+        for w, (core, tail) in other.items():
+            if tail:
+                cache[w] = cache[core] + cache[tail]
 
     def _learn_whole(self, words: list[bytes]) -> None:
         ids = lambda s: np.array(s.ids, self.dtype)
@@ -117,19 +122,17 @@ class WordEncoder:
             group = [t or b"" for t in batch[i : i + 256]]
             whole = {k for k, t in enumerate(group) if any(s in t for s in self.special)}
             split = [[] if k in whole else t.translate(LOWER).split() for k, t in enumerate(group)]
-            # the group's own ids: they stay, whatever the cache has room for
-            every = set().union(*split)
-            known = {w: self.cache[w] for w in every if w in self.cache}
-            if new := every.difference(known):
+            # the group's own cache: its words stay in it, whatever there is room for later
+            cache = self.cache
+            if new := set().union(*split).difference(cache):
                 self._learn(new)
-                known |= {w: self.cache[w] for w in new}
-                if len(self.cache) > CACHE_WORDS:
-                    self.cache.clear()
+                if len(cache) > CACHE_WORDS:
+                    self.cache = {}
             for k, words in enumerate(split):
                 if k in whole:
                     yield np.array(self.whole.encode(group[k].decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
                     continue
-                yield b"".join([known[w] for w in words])
+                yield b"".join(map(cache.__getitem__, words))
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}

@@ -131,6 +131,18 @@ def test_packing_with_a_small_cache(spark, monkeypatch):
     assert len(encoder.cache) <= 12
 
 
+def test_packing_learns_plain_words_without_an_array_each(monkeypatch):
+    encoder = packing.WordEncoder(queries.tokenizer_path(), "<u2")
+    plain = packing.WordEncoder(queries.tokenizer_path(), "<u2").whole
+    text = " ".join(f"{a}{b}{c}{m}" for a in "bdfglm" for b in "aeiou" for c in "nrstx" for m in ("", "ing", "ed,", "é"))
+    made, array = [], packing.np.array
+    monkeypatch.setattr(packing.np, "array", lambda *a: made.append(a) or array(*a))
+    (got,) = encoder.encode_batch([text.encode()])
+    monkeypatch.undo()
+    assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(made) < 10  # before: one for each of the 600 words
+
+
 def test_packing_repeated_rows(spark):
     rows = [(1, "a text of some words"), (1, "a text of some words"), (2, None), (2, None)]
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()
