@@ -1,9 +1,12 @@
 """Line dedup against brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup
 
@@ -146,3 +149,18 @@ def test_null_text_under_the_id_of_another(spark):
     docs = spark.createDataFrame([(1, None), (1, a), (1, None), (2, None), (2, b), (2, b)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_lines(docs).collect()), key=repr)
     assert got == sorted([(1, 0, 0, None), (1, 1, 0, a), (1, 0, 0, None), (2, 0, 0, None), (2, 1, 1, ""), (2, 1, 1, "")], key=repr)
+
+
+def test_words_of_all_documents_are_counted(spark, monkeypatch):
+    """Before, one document of 32 gave the counts: words frequent elsewhere passed for rare and their entries were not dealt to groups."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 12)
+    rows = [(d, f"everywhere  in{d}\n\neverywhere\t" + "often " * d) for d in range(64)] + [(None, "everywhere"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = [w for d, t in rows if d is not None and t for w in t.split()]
+    asked = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string")
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(line_dedup.BUCKETS - 1)).cast("int")
+    got = asked.select("w", bucket.alias("b"), F.get(line_dedup.rarity_classes(docs), bucket).alias("rarity")).collect()
+    of, counts = {r.w: r.b for r in got}, Counter()
+    for w in words:
+        counts[of[w]] += 1
+    assert {r.w: r.rarity for r in got} == {w: int(3 * math.log2(counts[b] + 1)) for w, b in of.items()}
