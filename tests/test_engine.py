@@ -1,6 +1,8 @@
 """The engine's front ends, rules and sources on small tables."""
 
+import bisect
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -193,3 +195,20 @@ def test_empty_global_aggregate(s):
     total = (N.Aggregate("SUM", N.Attr("PAY"), "V"),)
     assert [tuple(r) for r in s.run(N.GroupBy(none, (), total)).collect()] == [(None,)]
     assert s.run(N.GroupBy(none, (), total, empty_rows=False)).count() == 0
+
+
+def test_join_on_a_comparison_is_dealt_to_many_tasks(spark, tmp_path):
+    """Before, a table in one small file met the broadcast one in one task, however many pairs they make."""
+    rng, s, made = random.Random(8), Session(spark), {}
+    for name, n in (("many", 15_000), ("few", 10_000)):
+        made[name] = [(i, rng.randrange(25), rng.random()) for i in range(n)]
+        spark.createDataFrame(made[name], f"{name}_id long, {name}_at int, {name}_x double").coalesce(1).write.parquet(str(tmp_path / name))
+        s.catalog.register(name, spark.read.parquet(str(tmp_path / name)))
+    for a, b in (("many", "few"), ("few", "many")):
+        pairs = s.sql(f"select many_id, few_id from {a} join {b} on (many_at = few_at and many_x < few_x)")
+        assert pairs.rdd.getNumPartitions() >= 4
+        of = [sorted(x for _, at, x in made["few"] if at == k) for k in range(25)]
+        assert pairs.count() == pairs.distinct().count() == sum(len(of[k]) - bisect.bisect_right(of[k], x) for _, k, x in made["many"])
+    # ids alone and a comparison of one side are left to Spark
+    for on in ("many_id = few_id", "many_id = few_id and many_x < 0.5"):
+        assert "RoundRobin" not in s.sql(f"select many_id from many join few on ({on})")._jdf.queryExecution().executedPlan().toString()
