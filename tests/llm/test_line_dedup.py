@@ -175,3 +175,49 @@ def test_size_bands_are_wide_and_leave_out_no_partner(spark):
     met = {(r.n, r.pos, r.m) for r in smaller.alias("x").join(larger.where("pos = 0").alias("y"), F.expr("x.band = y.band")).selectExpr("x.n", "x.pos", "y.n as m").collect()}
     need = lambda n, m: -(-75 * (n + m) // 175)
     assert all((n, pos, m) in met for n in range(3, 250) for m in range(n, 250) if 75 * m <= 100 * n for pos in range(n) if n - pos >= need(n, m))
+
+
+@pytest.mark.parametrize("common, few", [(0, 10_000), (0, 0), (30, 10_000)])
+def test_only_common_ids_are_compared_with_the_nearest_first(spark, monkeypatch, common, few):
+    """Before, every class gave entries for its nearest predecessors, under rare ids too."""
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    tables, write = [], line_dedup.shared_table
+    def noted(df, tag, **more):
+        tables.append((tag, write(df, tag, **more)))
+        return tables[-1][1]
+    monkeypatch.setattr(line_dedup, "shared_table", noted)
+    rows = make(7)
+    later = line_dedup.later_matches(spark.createDataFrame(rows, "doc_id long, text string, h1 string, n long"))
+    near = next(df for tag, df in tables if tag == "line-pairs")
+    assert near.isEmpty() == (common == 30)
+    assert ("line-prefixes" in [tag for tag, _ in tables]) == (few == 0)
+    assert Counter(r.doc_id for r in later.collect()) == {d: n for d, (_, n, _) in brute(rows).items() if n}
+
+
+def test_each_id_is_sketched_once(spark):
+    """Before, both longs of a sketch took all ids, one of them to leave the odd ones out."""
+    rng = random.Random(8)
+    bound = 20 << line_dedup.LOW_BITS
+    every = sorted({rng.randrange(40) << line_dedup.LOW_BITS | rng.randrange(1 << 50) for _ in range(200)} | {bound})
+    sets = [sorted(rng.sample(every, rng.choice([0, 1, 5, 40, 150]))) for _ in range(40)] + [[bound], every, [x for x in every if x < bound]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(sets)], "k int, ids array<bigint>").select("*", line_dedup.below("ids", bound).alias("rarer"))
+    got = {r.k: r for r in df.select("*", *line_dedup.parity("ids", "rarer")).collect()}
+    assert all(got[k].rarer == sum(i < bound for i in x) for k, x in enumerate(sets))
+    ones = lambda x: bin(x & (1 << 64) - 1).count("1")
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            differ = set(x) ^ set(y)
+            assert ones(got[a].s1 ^ got[b].s1) <= sum(i < bound for i in differ) and ones(got[a].s2 ^ got[b].s2) <= sum(i >= bound for i in differ)
+    assert ones(got[len(sets) - 2].s1) and ones(got[len(sets) - 2].s2)
+
+
+def test_words_are_counted_in_the_fast_map(spark, monkeypatch):
+    """Before, an aggregate's fast map held half of the buckets, and the setting is as it was afterwards."""
+    seen, frame = [], type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.append(spark.conf.get(line_dedup.FAST_MAP)) or collect(df))
+    before = spark.conf.get(line_dedup.FAST_MAP)
+    line_dedup.rarity(spark.createDataFrame([(1, "one two\nthree")], "doc_id long, text string"))
+    assert [1 << int(bits) > line_dedup.BUCKETS for bits in seen] == [True]
+    assert spark.conf.get(line_dedup.FAST_MAP) == before
